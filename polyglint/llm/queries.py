@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import hosts, lines, sharding
+from . import hosts, langid, lines, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_compression_langid": langid.op1,
         "op3_lpt_sharding": sharding.op3,
+        "op6_budget_mixing": mixing.op6,
         "op8_host_quality": hosts.op8,
         "op10_line_windows": lines.op10,
     }
