@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import hosts, langid, lines, mixing, sharding
+from . import hosts, langid, lines, mixing, sharding, templates, warc
 
 
 def queries() -> dict:
     return {
         "op1_compression_langid": langid.op1,
+        "op2_revisit_resolution": warc.op2,
         "op3_lpt_sharding": sharding.op3,
         "op6_budget_mixing": mixing.op6,
+        "op7_template_decontamination": templates.op7,
         "op8_host_quality": hosts.op8,
         "op10_line_windows": lines.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_host_quality": hosts.OP8_SQL, "op10_line_windows": lines.OP10_SQL}
+    return {"op2_revisit_resolution": warc.OP2_SQL, "op8_host_quality": hosts.OP8_SQL, "op10_line_windows": lines.OP10_SQL}
