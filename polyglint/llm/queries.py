@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, hosts, langid, lines, mixing, sharding, templates, warc
+from . import bagminhash, hosts, langid, lines, mixing, rindex, sharding, templates, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_budget_mixing": mixing.op6,
         "op7_template_decontamination": templates.op7,
         "op8_host_quality": hosts.op8,
+        "op9_run_length_index": rindex.op9,
         "op10_line_windows": lines.op10,
     }
 
