@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, hosts, langid, lines, mixing, rindex, sharding, templates, warc
+from . import attention, bagminhash, hosts, langid, lines, mixing, rindex, sharding, templates, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_compression_langid": langid.op1,
         "op2_revisit_resolution": warc.op2,
         "op3_lpt_sharding": sharding.op3,
+        "op4_attention_scoring": attention.op4,
         "op5_bagminhash_dedup": bagminhash.op5,
         "op6_budget_mixing": mixing.op6,
         "op7_template_decontamination": templates.op7,
