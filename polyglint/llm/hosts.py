@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, heavy_join, table, words
+from .common import checkpoint, heavy_join, plain_name, table, words
 
 #: Fixed values of the base rule: least words, and the most words (in hundredths) inside repeated five-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -50,7 +50,10 @@ def features(docs: DataFrame) -> DataFrame:
         F.expr("CAST(size(__lines) - size(array_distinct(__lines)) AS long)").alias("n_dup_lines"),
         F.size("__lines").cast("long").alias("n_lines"),
         F.expr(win).alias("win"),
+        F.monotonically_increasing_id().alias("__row"),
     )
+    # filters of callers stop at a column that is not deterministic; below it they would work out `win` for each lambda
+    out = out.where("__row >= 0").drop("__row")
     return out.withColumn("n_repeat_words", F.expr(_REPEATS)).drop("win")
 
 
@@ -93,6 +96,21 @@ def beta_prior(n: int, f: int, hosts: int, sq: float) -> tuple[float, float]:
     return mean * worth, (1 - mean) * worth
 
 
+def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """docs without the rows that judge() would not keep; columns and repeated rows stay as they are.
+
+    The rules are worked out again next to the text, so that only the short list of rejected hosts is joined.
+    """
+    bad, text = plain_name(docs, "__bad_host"), plain_name(docs, "__kept_text")
+    judged = judge(docs.select(F.col(host).alias("__source"), "text"), "__source", max_host_rate)
+    rejected = judged.where(~F.col("base_failed") & ~F.col("kept")).select(F.coalesce(F.col("__source").cast("string"), F.lit("\0")).alias(bad)).distinct()
+    own = [F.col(c).alias(f"__own{k}") for k, c in enumerate(docs.columns)]
+    found = features(docs.select(*own, F.col("text"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias(text)))
+    good = found.where(~((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
+    good = good.join(rejected, good[text] == rejected[bad], "left_anti")
+    return good.select(*[F.col(f"__own{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *_COUNTS[:5], "base_failed", "rule_failed", "host_rate", "kept")

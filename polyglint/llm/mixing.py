@@ -111,6 +111,15 @@ def select(docs: DataFrame, path: Mapping[str, Column], weights: Mapping[tuple,
     return single.unionByName(split).select(*own, "n_tokens", F.col("epochs").cast("long").alias("epochs"))
 
 
+def repeat(docs: DataFrame, path: Mapping[str, Column], weights: Mapping[tuple, float], total: int | None = None, fraction: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
+    """docs with each row as often as select() takes it, in the columns of docs."""
+    own = {f"__own{k}": c for k, c in enumerate(docs.columns)}
+    kept = docs.select("*", *[F.col(c).alias(n) for n, c in own.items()])
+    taken = select(kept, path, weights, total, fraction, max_epochs, seed).where("epochs > 0")
+    rows = taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
+    return rows.select(*[F.col(n).alias(c) for n, c in own.items()])
+
+
 #: The tree of the registered query: books, code, news and web by the source's number, with these weights.
 DOMAINS = ("books", "code", "news", "web")
 WEIGHTS = {("books",): 3.0, ("code",): 1.0, ("news",): 2.0, ("web",): 4.0} | {(d, "en"): 2.0 for d in DOMAINS}
