@@ -64,6 +64,10 @@ def _ordered(found: Column) -> Column:
     return F.transform(F.array_sort(marked), lambda m: m["x"])
 
 
+def _scaled(found: str, share: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(x["lang"].alias("lang"), (x["probability"] * share).alias("probability")))
+
+
 def detect(docs: DataFrame, models: dict[str, GroupModel], text: str = "text") -> DataFrame:
     """docs with detections (lang, probability), best first, and fallback: whether no character was classified.
 
@@ -84,9 +88,9 @@ def detect(docs: DataFrame, models: dict[str, GroupModel], text: str = "text") -
     parts.append(F.when(F.col("__h_cjk_kana") > 0, F.array(F.struct(F.lit("jpn").alias("lang"), share("cjk_kana").alias("probability")))))
     parts.append(F.when((F.col("__h_cjk_han") > 0) & (F.col("__h_cjk_kana") == 0), F.array(F.struct(F.lit("cmn").alias("lang"), share("cjk_han").alias("probability")))))
     for g in scripts.GROUPS:
-        inner = inner.withColumn(f"__p_{g}", score(F.when(F.col(f"__h_{g}") > 0, F.col("__norm")), F.lit(g))) if g in models else inner
         if g in models:
-            parts.append(F.transform(f"__p_{g}", lambda x, g=g: F.struct(x["lang"].alias("lang"), (x["probability"] * share(g)).alias("probability"))))
+            inner = inner.withColumn(f"__p_{g}", score(F.when(F.col(f"__h_{g}") > 0, F.col("__norm")), F.lit(g)))
+            parts.append(_scaled(f"__p_{g}", share(g)))
     empty = F.array().cast(DETECTIONS)
     found = F.flatten(F.array(*[F.coalesce(p, empty) for p in parts]))
     inner = inner.withColumn("__found", found).withColumn("__fall", score(F.when(F.size("__found") == 0, F.col("__norm")), F.lit("latin")))
