@@ -2,9 +2,10 @@
 
 Words are cut into the longest pieces of a public vocabulary, of which the model uses the few that a sample uses most;
 a byte that none of them covers is an escape and one of 256 bytes. A token attends to itself and to what stands before
-it in its window, with a learned weight for each distance, and the next token's logits are a row for the token itself
-plus what the attention gathers. Windows of 48 inputs overlap by 16 and score their last 32, so that each token is
-scored once; many windows go through masked batched attention at a time.
+it in its window, with a learned weight for each distance. The next token is predicted in two steps, its class of 16 ids
+and then the id, each by a softmax over a row for the token itself plus what the attention gathers. Windows of 32 inputs
+overlap by 8 and score their last 24, so that each token is scored once; many windows go through masked batched
+attention at a time.
 
 Training is data-parallel: a fixed share of the training documents, so it grows with the corpus, is dealt to trainers
 whose models are averaged after each round. Word counts for the unigram base cover all training documents. They never
@@ -26,21 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, crc_rest, table
-from .rindex import _PACKED, _rows, _unpack, expand, squeeze
-
-#: Ids: the end of a text (and what stands before its first token), pieces, and the escape.
-IDS, END, ESCAPE = 128, 0, 127
+from .packs import PACKED as _PACKED
+from .packs import expand, squeeze
+from .packs import rows as _rows
+from .packs import unpack as _unpack
+from .packs import values as _values
+
+#: Ids: the end of a text (and what stands before its first token), pieces, and the escape; classes of SIDE ids each.
+SIDE = 16
+IDS, END, ESCAPE = SIDE * SIDE, 0, SIDE * SIDE - 1
 #: Inputs of a window that only give context, inputs that are scored, and the width of the attention.
-CONTEXT, SCORED, WIDTH = 16, 32, 16
+CONTEXT, SCORED, WIDTH = 8, 24, 16
 SPAN = CONTEXT + SCORED
 #: Windows that go through the attention at a time.
-BATCH = 64
+BATCH = 80
 #: The vocabulary sample: rows and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 8_000
 #: One in TRAIN_SHARE training documents trains the model, more if that is under TRAIN_BYTES of text.
 TRAIN_SHARE, TRAIN_BYTES = 64, 8_000_000
 ROUNDS, TRAINER_BYTES, MAX_TRAINERS, LEARN = 2, 2_000_000, 256, 0.01
-PACK_BYTES, RANGE_WORDS, CACHE = 8 << 20, 2_000_000, 1_000_000
+PACK_BYTES, RANGE_WORDS, CACHE = 4 << 20, 1_000_000, 150_000
 #: The remainder of crc32(doc_id) modulo FOLDS that is held out, by contract.
 FOLDS, HELD_OUT = 10, 0
 
@@ -112,7 +118,11 @@ def fresh(seed: int = 0) -> dict[str, np.ndarray]:
     """Parameters before training: near uniform."""
     rng = np.random.default_rng(seed)
     part = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    return {"query": part(IDS, WIDTH), "key": part(IDS, WIDTH), "value": part(IDS, WIDTH), "out": part(WIDTH, IDS), "direct": np.zeros((IDS, IDS), np.float32), "distance": np.linspace(0, -1, SPAN).astype(np.float32)}
+    zero = lambda *shape: np.zeros(shape, np.float32)
+    return {
+        "query": part(IDS, WIDTH), "key": part(IDS, WIDTH), "value": part(IDS, WIDTH), "distance": np.linspace(0, -1, SPAN).astype(np.float32),
+        "class_direct": zero(IDS, SIDE), "class_out": part(WIDTH, SIDE), "id_direct": zero(IDS, SIDE, SIDE), "id_out": part(SIDE, WIDTH, SIDE),
+    }
 
 
 class Windows:
@@ -144,73 +154,113 @@ _AHEAD = np.where(np.arange(SCORED)[:, None] + CONTEXT - np.arange(SPAN)[None] <
 _APART = np.maximum(np.arange(SCORED)[:, None] + CONTEXT - np.arange(SPAN)[None], 0)
 
 
-def attend(model: dict[str, np.ndarray], windows: Windows, at: np.ndarray):
-    """Masked attention of a batch of windows: ids (n, SPAN), queries, keys, values, weights and what they gather."""
-    ids = windows.inputs[windows.begin[at, None] + np.arange(SPAN)]
-    query, key, value = model["query"][ids[:, CONTEXT:]], model["key"][ids], model["value"][ids]
-    weight = query @ key.transpose(0, 2, 1)
-    weight += model["distance"][_APART] + _AHEAD
-    head = windows.first[at]
-    if head.any():
-        weight[head, :, :CONTEXT] = -1e9
-    np.exp(weight, out=weight)
-    weight /= weight.sum(axis=2, keepdims=True)
-    return ids, query, key, value, weight, weight @ value
+class Attention:
+    """Masked attention over batches of windows, in buffers that are made once."""
+
+    def __init__(self, model: dict[str, np.ndarray]):
+        self.model, kind = model, model["query"].dtype
+        self.bias = model["distance"][_APART] + _AHEAD.astype(kind)
+        self.keys, self.values = np.empty((BATCH, SPAN, WIDTH), kind), np.empty((BATCH, SPAN, WIDTH), kind)
+        self.queries, self.context = np.empty((BATCH, SCORED, WIDTH), kind), np.empty((BATCH, SCORED, WIDTH), kind)
+        self.weights, self.sums = np.empty((BATCH, SCORED, SPAN), kind), np.empty((BATCH, SCORED, 1), kind)
+
+    def gather(self, windows: Windows, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (n, SPAN) of the windows and what their scored inputs gather (n, SCORED, WIDTH)."""
+        n, m = len(at), self.model
+        ids = windows.inputs[windows.begin[at, None] + np.arange(SPAN)]
+        np.take(m["query"], ids[:, CONTEXT:], axis=0, out=self.queries[:n], mode="clip")
+        np.take(m["key"], ids, axis=0, out=self.keys[:n], mode="clip")
+        np.take(m["value"], ids, axis=0, out=self.values[:n], mode="clip")
+        w = np.matmul(self.queries[:n], self.keys[:n].transpose(0, 2, 1), out=self.weights[:n])
+        w += self.bias
+        head = np.flatnonzero(windows.first[at])
+        if len(head):
+            w[head, :, :CONTEXT] = -1e9
+        np.exp(w, out=w)
+        np.sum(w, axis=2, keepdims=True, out=self.sums[:n])
+        context = np.matmul(w, self.values[:n], out=self.context[:n])
+        context /= self.sums[:n]
+        return ids, context
 
 
 def log10_scores(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text of ids; each token counts once."""
-    windows = Windows(texts)
-    out = np.zeros(len(texts))
-    rows = BATCH * SCORED
-    direct, gathered = np.empty((rows, IDS), np.float32), np.empty((rows, IDS), np.float32)
-    ones = np.ones(IDS, np.float32)
+    windows, attention = Windows(texts), Attention(model)
+    out, rows, ones = np.zeros(len(texts)), BATCH * SCORED, np.ones(SIDE, np.float32)
+    by_class, by_id, direct, context = (np.empty((rows, k), np.float32) for k in (SIDE, SIDE, SIDE, WIDTH))
+    pairs = model["id_direct"].reshape(IDS * SIDE, SIDE)
     for a in range(0, len(windows.begin), BATCH):
         at = np.arange(a, min(a + BATCH, len(windows.begin)))
         n = len(at) * SCORED
-        ids, *_, context = attend(model, windows, at)
+        ids, gathered = attention.gather(windows, at)
         place = (windows.begin[at, None] + np.arange(CONTEXT, SPAN)).ravel()
-        x, y = direct[:n], gathered[:n]
-        np.take(model["direct"], ids[:, CONTEXT:].ravel(), axis=0, out=x, mode="clip")
-        np.dot(context.reshape(n, WIDTH), model["out"], out=y)
-        x += y
-        found = x[np.arange(n), windows.targets[place]].astype(np.float64)
-        np.exp(x, out=y)
-        found -= np.log(y @ ones)
+        target = windows.targets[place]
+        # rows in order of the target's class, so that each class is one product
+        order = np.argsort(target >> 4, kind="stable")
+        target, now, place = target[order], ids[:, CONTEXT:].ravel()[order], place[order]
+        kind = target >> 4
+        np.take(gathered.reshape(n, WIDTH), order, axis=0, out=context[:n], mode="clip")
+        np.dot(context[:n], model["class_out"], out=by_class[:n])
+        by_class[:n] += np.take(model["class_direct"], now, axis=0, out=direct[:n], mode="clip")
+        cuts = np.searchsorted(kind, np.arange(SIDE + 1)).tolist()
+        for k in range(SIDE):
+            if cuts[k + 1] > cuts[k]:
+                np.dot(context[cuts[k] : cuts[k + 1]], model["id_out"][k], out=by_id[cuts[k] : cuts[k + 1]])
+        by_id[:n] += np.take(pairs, now.astype(np.int32) * SIDE + kind, axis=0, out=direct[:n], mode="clip")
+        every = np.arange(n)
+        found = (by_class[every, kind] + by_id[every, target & 15]).astype(np.float64)
+        found -= np.log((np.exp(by_class[:n], out=by_class[:n]) @ ones).astype(np.float64) * (np.exp(by_id[:n], out=by_id[:n]) @ ones))
         found[~windows.real[place]] = 0
-        out += np.bincount(windows.text[at], found.reshape(len(at), SCORED).sum(axis=1), len(texts))
+        out += np.bincount(windows.text[at[order // SCORED]], found, len(texts))
     escapes = np.array([t.count(ESCAPE) for t in texts])
     return out / np.log(10) - escapes * np.log10(256)
 
 
 def gradients(model: dict[str, np.ndarray], windows: Windows, at: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
     """Gradients of the mean cross-entropy over a batch of windows, the sum of losses and the number of tokens."""
-    n = len(at) * SCORED
-    ids, query, key, value, weight, context = attend(model, windows, at)
+    n, attention = len(at) * SCORED, Attention(model)
+    ids, gathered = attention.gather(windows, at)
+    m = len(at)
+    query, key, value = attention.queries[:m], attention.keys[:m], attention.values[:m]
+    weight, context = attention.weights[:m] / attention.sums[:m], gathered.reshape(n, WIDTH)
     place = (windows.begin[at, None] + np.arange(CONTEXT, SPAN)).ravel()
-    real, target, now = windows.real[place], windows.targets[place], ids[:, CONTEXT:].ravel()
-    logits = model["direct"][now] + context.reshape(n, WIDTH) @ model["out"]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    loss = -np.log(np.maximum(logits[np.arange(n), target], 1e-30))[real].sum()
-    logits[np.arange(n), target] -= 1
-    tokens = int(real.sum())
-    logits *= (real / max(1, tokens)).astype(np.float32)[:, None]
-    hot = np.zeros((n, IDS), np.float32)
-    hot[np.arange(n), now] = 1
-    grads = {"direct": hot.T @ logits, "out": context.reshape(n, WIDTH).T @ logits}
-    back = (logits @ model["out"].T).reshape(context.shape)
+    real, target, now = windows.real[place], windows.targets[place].astype(np.int64), ids[:, CONTEXT:].ravel()
+    kind, tokens = target >> 4, max(1, int(real.sum()))
+    share = (real / tokens).astype(weight.dtype)[:, None]
+    loss, back, grads = 0.0, np.zeros((n, WIDTH), weight.dtype), {}
+    every, hot = np.arange(n), np.zeros((n, IDS), weight.dtype)
+    hot[every, now] = 1
+
+    def error(logits: np.ndarray, wanted: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        nonlocal loss
+        logits = np.exp(logits - logits.max(axis=1, keepdims=True))
+        logits /= logits.sum(axis=1, keepdims=True)
+        own = logits[np.arange(len(wanted)), wanted]
+        loss -= float(np.log(np.maximum(own, 1e-30))[real[rows]].sum())
+        logits[np.arange(len(wanted)), wanted] -= 1
+        return logits * share[rows]
+
+    wrong = error(model["class_direct"][now] + context @ model["class_out"], kind, every)
+    grads["class_direct"], grads["class_out"] = hot.T @ wrong, context.T @ wrong
+    back += wrong @ model["class_out"].T
+    grads["id_direct"], grads["id_out"] = np.zeros_like(model["id_direct"]), np.zeros_like(model["id_out"])
+    for k in range(SIDE):
+        rows = np.flatnonzero(kind == k)
+        if len(rows):
+            wrong = error(model["id_direct"][now[rows], k] + context[rows] @ model["id_out"][k], target[rows] & 15, rows)
+            grads["id_direct"][:, k] = hot[rows].T @ wrong
+            grads["id_out"][k] = context[rows].T @ wrong
+            back[rows] += wrong @ model["id_out"][k].T
+    back = back.reshape(gathered.shape)
     d_weight = back @ value.transpose(0, 2, 1)
     d_score = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
     d_value, d_query, d_key = weight.transpose(0, 2, 1) @ back, d_score @ key, d_score.transpose(0, 2, 1) @ query
     grads["query"] = hot.T @ d_query.reshape(n, WIDTH)
-    every = np.zeros((ids.size, IDS), np.float32)
-    every[np.arange(ids.size), ids.ravel()] = 1
-    grads["key"] = every.T @ d_key.reshape(-1, WIDTH)
-    grads["value"] = every.T @ d_value.reshape(-1, WIDTH)
-    grads["distance"] = np.bincount(_APART.ravel(), d_score.sum(axis=0).ravel() * (_AHEAD.ravel() == 0), SPAN).astype(np.float32)
-    return grads, float(loss), tokens
+    all_ids = np.zeros((ids.size, IDS), weight.dtype)
+    all_ids[np.arange(ids.size), ids.ravel()] = 1
+    grads["key"], grads["value"] = all_ids.T @ d_key.reshape(-1, WIDTH), all_ids.T @ d_value.reshape(-1, WIDTH)
+    grads["distance"] = np.bincount(_APART.ravel(), d_score.sum(axis=0).ravel() * (_AHEAD.ravel() == 0), SPAN).astype(weight.dtype)
+    return grads, loss, tokens
 
 
 def train(model: dict[str, np.ndarray], texts: Iterator[list[bytes]], learn: float = LEARN) -> tuple[dict[str, np.ndarray], int]:
@@ -309,15 +359,14 @@ def _packer(ranges: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
         ids, held, texts = [], [], []
-        for batch in batches:
-            for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids.append(doc)
-                held.append(out)
-                texts.append((text or "").encode("utf-8", "replace"))
-                size += len(texts[-1]) + 16
-                if size >= PACK_BYTES:
-                    yield from emit(number, ids, held, texts)
-                    number, size, ids, held, texts = number + 1, 0, [], [], []
+        for doc, out, text in _values(batches):
+            ids.append(doc)
+            held.append(out)
+            texts.append((text or "").encode("utf-8", "replace"))
+            size += len(texts[-1]) + 16
+            if size >= PACK_BYTES:
+                yield from emit(number, ids, held, texts)
+                number, size, ids, held, texts = number + 1, 0, [], [], []
         if ids:
             yield from emit(number, ids, held, texts)
 
@@ -368,9 +417,8 @@ def score(docs: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, own = Cutter(shared.value[0]), _full(shared.value[1])
-        for batch in batches:
-            for payload, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _scored(payload, counts or [], cutter, own, n, v, ends)
+        for payload, counts in _values(batches, 1):
+            yield _scored(payload, counts or [], cutter, own, n, v, ends)
 
     return joined.mapInArrow(finish, _SCHEMA)
 

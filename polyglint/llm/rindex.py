@@ -23,6 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
+from .packs import PACKED as _PACKED
+from .packs import expand, squeeze
+from .packs import rows as _rows
+from .packs import unpack as _unpack
+from .packs import values as _values
 
 #: Fixed by the contract: the length of a string that counts as a repeat.
 LENGTH = 50
@@ -30,7 +35,7 @@ LENGTH = 50
 GRAM = 20
 SPREAD = LENGTH - GRAM + 1
 #: Text bytes of a pack and of what one bucket's fragments are cut from; hashes in one range; bits of a hash that travel.
-PACK_BYTES, BUCKET_BYTES, RANGE_HASHES, HASH_BITS = 8 << 20, 24 << 20, 2_000_000, 48
+PACK_BYTES, BUCKET_BYTES, RANGE_HASHES, HASH_BITS = 4 << 20, 16 << 20, 1_000_000, 48
 #: Stands for a null doc_id: no document is later.
 LAST = (1 << 63) - 1
 
@@ -73,17 +78,6 @@ def minimizers(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return place, _mix(grams[place] + _GOLD) >> np.uint64(64 - HASH_BITS)
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Ascending unsigned integers as compressed differences."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def expand(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.uint64))
-
-
 class RunIndex:
     """Run-length index of texts (bytes without zeros), each of a document; earliest documents at depth LENGTH."""
 
@@ -239,27 +233,6 @@ def _found(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.decompress(data)
-    n = int.from_bytes(raw[:8], "little")
-    ids = np.frombuffer(raw, "<i8", n, 8)
-    sizes = np.frombuffer(raw, "<i8", n, 8 + 8 * n)
-    at = 8 + 16 * n
-    out = []
-    for s in sizes.tolist():
-        out.append(raw[at : at + s])
-        at += s
-    return ids, out
-
-
-_PACKED = "kind int, pack long, bin long, payload binary"
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kind, pack, bin_, payload = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(pack, pa.int64()), pa.array(bin_, pa.int64()), pa.array(payload, pa.binary())], ["kind", "pack", "bin", "payload"])
-
-
 def _packer(ranges: int):
     """Texts to packs (kind 0), and for each pack and range of hashes those it has (kind 1), with those of several documents."""
 
@@ -287,14 +260,13 @@ def _packer(ranges: int):
         ids: list[int] = []
         texts: list[bytes] = []
         size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(LAST if doc is None else doc)
-                texts.append((text or "").encode("utf-8", "replace"))
-                size += len(texts[-1]) + 16
-                if size >= PACK_BYTES:
-                    yield from emit(number, ids, texts)
-                    number, ids, texts, size = number + 1, [], [], 0
+        for doc, text in _values(batches):
+            ids.append(LAST if doc is None else doc)
+            texts.append((text or "").encode("utf-8", "replace"))
+            size += len(texts[-1]) + 16
+            if size >= PACK_BYTES:
+                yield from emit(number, ids, texts)
+                number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield from emit(number, ids, texts)
 
@@ -330,34 +302,33 @@ def _fragments(buckets: int):
     """A pack and its repeated hashes to fragments for the buckets (kind 3) and what the pack itself decides (kind 4)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, payload, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not shared:
-                    continue
-                ids, texts = _unpack(payload)
-                known = np.sort(np.concatenate([expand(s) for s in shared]))
-                text, place, hashes = _found(texts)
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                good = known[at] == hashes
-                text, place, hashes = text[good], place[good], hashes[good]
-                sizes = np.array([len(t) for t in texts], np.int64)
-                low, high = np.maximum(place + GRAM - LENGTH, 0), np.minimum(place + LENGTH, sizes[text])
-                number: dict[tuple[int, bytes], int] = {}
-                which = np.fromiter((number.setdefault((h, texts[t][a:b]), len(number)) for t, a, b, h in zip(text.tolist(), low.tolist(), high.tolist(), hashes.tolist(), strict=True)), np.int64, len(text))
-                first = np.full(len(number), LAST)
-                np.minimum.at(first, which, ids[text])
-                sure = ids[text] > first[which]
-                yield _rows([(4, pack, 0, zstandard.compress(np.stack([which, text, low, high, sure.astype(np.int64)]).astype("<i8").tobytes(), 3))])
-                by_bucket = defaultdict(list)
-                for f, (h, data) in enumerate(number):
-                    by_bucket[h % buckets].append((h, f, data))
-                rows = []
-                for bucket, found in by_bucket.items():
-                    found.sort()
-                    meta = np.array([[h, f, first[f], len(d)] for h, f, d in found], "<i8")
-                    body = len(found).to_bytes(8, "little") + np.ascontiguousarray(meta.T).tobytes() + b"".join(d for _, _, d in found)
-                    rows.append((3, pack, bucket, zstandard.compress(body, 3)))
-                yield _rows(rows)
+        for pack, payload, shared in _values(batches, 1):
+            if not shared:
+                continue
+            ids, texts = _unpack(payload)
+            known = np.sort(np.concatenate([expand(s) for s in shared]))
+            text, place, hashes = _found(texts)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            good = known[at] == hashes
+            text, place, hashes = text[good], place[good], hashes[good]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            low, high = np.maximum(place + GRAM - LENGTH, 0), np.minimum(place + LENGTH, sizes[text])
+            number: dict[tuple[int, bytes], int] = {}
+            which = np.fromiter((number.setdefault((h, texts[t][a:b]), len(number)) for t, a, b, h in zip(text.tolist(), low.tolist(), high.tolist(), hashes.tolist(), strict=True)), np.int64, len(text))
+            first = np.full(len(number), LAST)
+            np.minimum.at(first, which, ids[text])
+            sure = ids[text] > first[which]
+            yield _rows([(4, pack, 0, zstandard.compress(np.stack([which, text, low, high, sure.astype(np.int64)]).astype("<i8").tobytes(), 3))])
+            by_bucket = defaultdict(list)
+            for f, (h, data) in enumerate(number):
+                by_bucket[h % buckets].append((h, f, data))
+            rows = []
+            for bucket, found in by_bucket.items():
+                found.sort()
+                meta = np.array([[h, f, first[f], len(d)] for h, f, d in found], "<i8")
+                body = len(found).to_bytes(8, "little") + np.ascontiguousarray(meta.T).tobytes() + b"".join(d for _, _, d in found)
+                rows.append((3, pack, bucket, zstandard.compress(body, 3)))
+            yield _rows(rows)
 
     return cut
 
@@ -464,18 +435,17 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, local, marks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids, found = _unpack(payload)
-                out = list(_cut(found, local, marks or []))
-                columns = [
-                    pa.array([None if i == LAST else i for i in ids.tolist()], pa.int64()),
-                    pa.array([len(t) for t in found], pa.int64()),
-                    pa.array([n for n, _, _ in out], pa.int64()),
-                    pa.array([s for _, s, _ in out], pa.int64()),
-                    pa.array([hashlib.sha256(k).hexdigest() for _, _, k in out], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([k for _, _, k in out], pa.binary())] * texts, [c.split()[0] for c in schema.split(", ")])
+        for payload, local, marks in _values(batches, 1):
+            ids, found = _unpack(payload)
+            out = list(_cut(found, local, marks or []))
+            columns = [
+                pa.array([None if i == LAST else i for i in ids.tolist()], pa.int64()),
+                pa.array([len(t) for t in found], pa.int64()),
+                pa.array([n for n, _, _ in out], pa.int64()),
+                pa.array([s for _, s, _ in out], pa.int64()),
+                pa.array([hashlib.sha256(k).hexdigest() for _, _, k in out], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([k for _, _, k in out], pa.binary())] * texts, [c.split()[0] for c in schema.split(", ")])
 
     return joined.mapInArrow(finish, schema)
 

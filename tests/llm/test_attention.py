@@ -42,8 +42,10 @@ def plain(model, ids):
         q = model["query"][inputs[t]]
         w = np.array([math.exp(q @ model["key"][inputs[j]] + model["distance"][t - j]) for j in seen])
         context = sum(x * model["value"][inputs[j]] for x, j in zip(w / w.sum(), seen))
-        logits = model["direct"][inputs[t]] + context @ model["out"]
-        total += logits[target] - math.log(np.exp(logits).sum())
+        kind, last = divmod(target, A.SIDE)
+        by_class = model["class_direct"][inputs[t]] + context @ model["class_out"]
+        by_id = model["id_direct"][inputs[t], kind] + context @ model["id_out"][kind]
+        total += by_class[kind] - math.log(np.exp(by_class).sum()) + by_id[last] - math.log(np.exp(by_id).sum())
         total -= math.log(256) * (target == A.ESCAPE)
     return total / math.log(10)
 
