@@ -6,10 +6,11 @@ bit by bit, and counts only below the shingle's weight. Each point also names a
 earliest point that hits it, so two bags agree in a register with just their weighted Jaccard similarity. Only points
 earlier than the time by which all registers are filled are ever drawn: one or so for each shingle.
 
-Signatures are cut into bands; texts that share a band are candidates, and each candidate pair that is checked is checked
-on the bags themselves. No bucket is expanded into all its pairs: each member is compared with pivots, first one for each
-bucket, then 4, 16, 64 and so on, and after each round pairs that are connected already need no comparison. A bucket is
-done when its texts are all connected, or all were pivots, so no link between different classes is lost.
+Signatures are cut into bands, and texts that share a band are candidates; what links them is the overlap of their bags
+alone. No bucket is expanded into pairs. Each member is compared with the bucket's pivot, the text that meets most others
+in its buckets. Where that leaves a candidate cluster with several classes, the texts outside its largest class are a
+query set that is run against the whole cluster, in blocks of bounded size, each with an inverted index of its bags, so
+that no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ SIMILARITY = Fraction(4, 5)
 #: 24 bands of 4 registers: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: Texts of a cluster that one task holds as members, and as queries.
+BLOCK_TEXTS = 2000
 #: Words that are sketched at a time, and distinct words a worker remembers.
-CHUNK_WORDS, CACHE = 400_000, 1_000_000
+CHUNK_WORDS, CACHE = 200_000, 300_000
 
 _GOLD, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -122,12 +125,12 @@ class Bags:
         for k in range(SHINGLE):
             inside = at + k < last
             found = _mix(found * _GOLD + np.where(inside, words[np.minimum(at + k, max(len(words) - 1, 0))], np.uint64(0)))
-        order = np.lexsort((found, doc))
-        doc, found = doc[order], found[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+        # text and 44 bits of the hash in one number: one sort brings equal shingles of a text together
+        both = np.sort(doc.astype(np.uint64) << np.uint64(44) | _mix(found) >> np.uint64(20))
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
         at = np.flatnonzero(new)
-        return doc[at], found[at], np.diff(np.append(at, len(doc)))
+        return (both[at] >> np.uint64(44)).astype(np.int64), both[at] & np.uint64((1 << 44) - 1), np.diff(np.append(at, len(both)))
 
 
 def bands(signatures: np.ndarray) -> np.ndarray:
@@ -140,7 +143,7 @@ def bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
         texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
         at = 0
         while at < len(texts):
@@ -181,7 +184,7 @@ def overlap(a: str, b: str, similarity: Fraction = SIMILARITY, known: dict | Non
 def _verified(similarity: Fraction):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             good = [overlap(x, y, similarity, known) for x, y in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -193,39 +196,74 @@ def content_key(text: str = "text"):
     return F.when(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.col(text).cast("string").cast("binary"))))
 
 
+def _joined(group: pa.Table, similarity: Fraction) -> Iterator[tuple[bytes, bytes]]:
+    """Links that join different classes, of the queries of one block with its members; a spanning set of them."""
+    keys, labels, query = (group.column(c).to_pylist() for c in ("key", "label", "query"))
+    raw = group.column("text").to_pylist()
+    doc, shingle, weight = Bags.of([t.encode("utf-8", "replace") for t in raw])
+    total = np.bincount(doc, weight, len(keys))
+    starts = np.searchsorted(doc, np.arange(len(keys) + 1))
+    member = ~np.array(query, bool)[doc]
+    order = np.argsort(shingle[member], kind="stable")
+    index, owner, counts = shingle[member][order], doc[member][order], weight[member][order]
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for k in np.flatnonzero(query).tolist():
+        own, times = shingle[starts[k] : starts[k + 1]], weight[starts[k] : starts[k + 1]]
+        low, high = np.searchsorted(index, own, "left"), np.searchsorted(index, own, "right")
+        size = high - low
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(times, size)), len(keys))
+        # a little under the threshold, for the exact check to decide
+        for m in np.flatnonzero(shared >= float(similarity) * (total[k] + total - shared) - 1).tolist():
+            a, b = find(labels[k]), find(labels[m])
+            if shared[m] and a != b and overlap(raw[k], raw[m], similarity):
+                root[max(a, b)] = min(a, b)
+                yield keys[k], keys[m]
+
+
 def links(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """(node, label) by content key, for the texts that are connected with another text of similarity or more.
 
     docs: key (content_key, not null) and text. Equal texts are one node.
     """
-    members = docs.mapInArrow(_banded, "key binary, buckets array<long>").select("key", F.explode("buckets").alias("bucket"))
-    members = checkpoint(members)
-    shared = members.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("other"), F.count("*").alias("rows")).where("pivot <> other").select("bucket", "pivot", "rows")
-    members = heavy_join(members, checkpoint(shared), ["bucket"], "rows", max(1, members.count())).select("bucket", "key", "pivot").distinct()
-    members = checkpoint(members)
-    texts = docs.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    texts = checkpoint(texts)
-    pairs = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    found, compared, labels, width = None, None, None, 1
-    while True:
-        pairs = checkpoint(pairs)
-        good = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        good = checkpoint(good.mapInArrow(_verified(similarity), "a binary, b binary"))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        found = good if found is None else found.unionByName(good)
-        labels = checkpoint(components(found))
-        named = members.select("bucket", "key").join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where((F.col("least") != F.col("most")) & (F.col("n") > (width if width > 1 else 2)))
-        open_ = checkpoint(open_.select("bucket", "n"))
-        if open_.isEmpty():
-            return labels
-        step = checkpoint(heavy_join(named, open_, ["bucket"], "n", max(1, named.count())).withColumn("turn", F.pmod(F.xxhash64("key"), F.col("n"))))
-        before, width = (0 if width == 1 else width), 4 * width
-        # members whose turn has come are pivots; all are, once a bucket has no more members than there are turns
-        pivots = step.where((F.col("turn") >= before) & (F.col("turn") < width)).select("bucket", F.col("key").alias("b"), F.col("label").alias("lb"))
-        others = step.where(F.col("turn") >= before).select("bucket", F.col("key").alias("a"), F.col("label").alias("la"))
-        pairs = others.join(pivots, "bucket").where("la <> lb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    # distinct first, so that copies of a text meet as one row; then only buckets of several texts go on
+    members = checkpoint(docs.mapInArrow(_banded, "key binary, buckets array<long>").select("key", F.explode("buckets").alias("bucket")).distinct())
+    shared = members.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
+    members = checkpoint(members.join(shared, "bucket").select("bucket", "key"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("rows"))
+    total = max(1, members.count())
+    met = heavy_join(members, sizes, ["bucket"], "rows", total).groupBy("key").agg(F.sum("rows").alias("met"))
+    pivots = members.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("best"), F.count("*").alias("rows")).select("bucket", F.col("best.key").alias("pivot"), "rows")
+    pairs = checkpoint(heavy_join(members, pivots, ["bucket"], "rows", total).where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
+    texts = checkpoint(docs.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    good = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    good = checkpoint(good.mapInArrow(_verified(similarity), "a binary, b binary"))
+    labels = components(good)
+    clusters = components(pairs).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    # components() lists the ends of links but for the least of each, which is its own label
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("key"), "cluster")).distinct()
+    named = checkpoint(clusters.join(labels, clusters["key"] == labels["node"], "left").select("key", "cluster", F.coalesce("label", "key").alias("label")))
+    by_label = named.groupBy("cluster", "label").agg(F.count("*").alias("rows"))
+    main = by_label.groupBy("cluster").agg(F.max(F.struct("rows", "label")).alias("main"), F.sum("rows").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    main = checkpoint(main.select("cluster", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.rows")).alias("strays")))
+    if main.isEmpty():
+        return labels
+    open_ = heavy_join(named, main, ["cluster"], "n", max(1, named.count()))
+    blocks, chunks = (F.ceil(F.col(c) / BLOCK_TEXTS) for c in ("n", "strays"))
+    split = lambda n: F.pmod(F.xxhash64("key"), n)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = open_.select("cluster", "key", "label", F.lit(False).alias("query"), split(blocks).alias("block"), spread(chunks).alias("chunk"))
+    asked = open_.where("label <> main").select("cluster", "key", "label", F.lit(True).alias("query"), split(chunks).alias("chunk"), spread(blocks).alias("block"))
+    found = own.unionByName(asked).join(texts, "key").groupBy("cluster", "block", "chunk").applyInArrow(
+        lambda table_: pa.Table.from_pylist([{"a": a, "b": b} for a, b in _joined(table_, similarity)], pa.schema([("a", pa.binary()), ("b", pa.binary())])), "a binary, b binary"
+    )
+    return components(good.unionByName(checkpoint(found)))
 
 
 def classes(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
