@@ -29,7 +29,7 @@ MIN_TOKENS, MIN_SHARE = 13, 0.5
 #: Benchmark words that one broadcast table may hold (under 100 MB); a larger benchmark takes several passes.
 PASS_WORDS = 1_000_000
 #: Distinct words a worker remembers before it starts afresh.
-CACHE = 1_000_000
+CACHE = 300_000
 
 #: Units that count as such after a number.
 UNITS = frozenset(
