@@ -296,7 +296,10 @@ def _full(data: bytes) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
     """The model's pieces and parameters, from docs (doc_id, text). Null texts are empty; without rows it stays untrained."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = rows.orderBy(F.xxhash64("text"), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS)
+    # some sixteen times the rows that are needed pass the filter, so that no task sends the driver its own SAMPLE_ROWS
+    scale, count = 1 << 30, rows.count()
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(scale * min(1.0, 16 * SAMPLE_ROWS / max(1, count))))
+    sample = some.orderBy(F.xxhash64("text"), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS)
     chosen = choose([r["text"] for r in sample.collect()], pieces if pieces is not None else vocabulary())
     whole = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     part = max(1 / TRAIN_SHARE, min(1.0, TRAIN_BYTES / max(1, whole)))
