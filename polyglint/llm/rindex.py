@@ -35,7 +35,7 @@ LENGTH = 50
 GRAM = 20
 SPREAD = LENGTH - GRAM + 1
 #: Text bytes of a pack and of what one bucket's fragments are cut from; hashes in one range; bits of a hash that travel.
-PACK_BYTES, BUCKET_BYTES, RANGE_HASHES, HASH_BITS = 4 << 20, 16 << 20, 1_000_000, 48
+PACK_BYTES, BUCKET_BYTES, RANGE_HASHES, HASH_BITS = 16 << 20, 16 << 20, 1_000_000, 40
 #: Stands for a null doc_id: no document is later.
 LAST = (1 << 63) - 1
 
@@ -238,7 +238,7 @@ def _packer(ranges: int):
 
     def emit(pack: int, ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         head = len(ids).to_bytes(8, "little") + np.array(ids, "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
-        yield _rows([(0, pack, 0, zstandard.compress(head + b"".join(texts), 3))])
+        yield _rows([(0, pack, 0, zstandard.compress(head + b"".join(texts), 6))])
         text, _, hashes = _found(texts)
         doc = np.array(ids, np.int64)[text]
         order = np.lexsort((doc, hashes))
