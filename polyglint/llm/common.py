@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Sequence
 
@@ -30,6 +31,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of DataFrames that are gone; it follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def plain_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores in front until df has no such column."""
     taken = {c.lower() for c in df.columns}

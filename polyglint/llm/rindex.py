@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, release, table
 from .packs import PACKED as _PACKED
 from .packs import expand, squeeze
 from .packs import rows as _rows
@@ -428,6 +428,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     shared = packed.where("kind = 1").groupBy("bin").applyInArrow(_repeated, _PACKED)
     shared = shared.groupBy("pack").agg(F.collect_list("payload").alias("shared"))
     cut = checkpoint(packs.join(shared, "pack", "left").select("pack", "payload", "shared").mapInArrow(_fragments(buckets), _PACKED))
+    # what brought the packs together is of no more use, and as large as they are
+    del shared
+    release(docs.sparkSession)
     marks = cut.where("kind = 3").select("kind", "pack", "bin", "payload").groupBy("bin").applyInArrow(_marks, _PACKED)
     marks = marks.groupBy("pack").agg(F.collect_list("payload").alias("marks"))
     local = cut.where("kind = 4").select("pack", F.col("payload").alias("local"))
