@@ -41,6 +41,8 @@ LAST = (1 << 63) - 1
 
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
+#: The least numbers of one byte, two and so on.
+_BYTE = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -136,13 +138,14 @@ class RunIndex:
             width *= 2
 
     def common(self, at: np.ndarray, words: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Bytes shared by the text from `at` and a pattern from `place`, in whole eights up to LENGTH."""
+        """Bytes shared by the text from `at` and a pattern from `place`, up to LENGTH."""
         out = np.zeros(len(at), np.int64)
         live = np.arange(len(at))
         for k in range(0, LENGTH, 8):
-            live = live[self.words[np.minimum(at[live] + k, len(self.words) - 1)] == words[np.minimum(place[live] + k, len(words) - 1)]]
-            out[live] = k + 8
-        return out
+            apart = self.words[np.minimum(at[live] + k, len(self.words) - 1)] ^ words[np.minimum(place[live] + k, len(words) - 1)]
+            out[live] = k + 8 - np.searchsorted(_BYTE, apart, "right")
+            live = live[apart == 0]
+        return np.minimum(out, LENGTH)
 
     def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics cut off at LENGTH: for each position from which a text matches LENGTH bytes of the index,

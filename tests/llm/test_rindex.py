@@ -84,6 +84,21 @@ def test_index_streams_foreign_texts():
         assert got == want
 
 
+def test_index_tells_close_copies_apart():
+    for seed in range(20):
+        rng = random.Random(seed)
+        passage = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(80))
+        texts = sorted({bytes(rng.choice(b"abcdefghijklmnop ") if rng.random() < 0.03 else c for c in passage) for _ in range(70)})
+        rng.shuffle(texts)
+        text, place, earliest, _ = R.RunIndex(texts, np.arange(len(texts))).stream(texts)
+        got = dict(zip(zip(text.tolist(), place.tolist()), earliest.tolist()))
+        windows = {(k, i): t[i : i + R.LENGTH] for k, t in enumerate(texts) for i in range(len(t) - R.LENGTH + 1)}
+        least = {}
+        for (k, _), w in windows.items():
+            least[w] = min(least.get(w, k), k)
+        assert got == {at: least[w] for at, w in windows.items()}
+
+
 def test_numbers_come_back():
     values = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
     assert (R.expand(R.squeeze(values)) == values).all() and len(R.expand(R.squeeze(values[:0]))) == 0
