@@ -1,6 +1,6 @@
 """A one-layer causal self-attention model over subword ids, in numpy, and its corpus-wide scoring.
 
-Words are cut into the longest pieces of a public vocabulary, of which the model uses the few that a sample uses most;
+Words are cut into the longest pieces of a public vocabulary, of which the model uses the few that the training documents use most;
 a byte that none of them covers is an escape and one of 256 bytes. A token attends to itself and to what stands before
 it in its window, with a learned weight for each distance. The next token is predicted in two steps, its class of 16 ids
 and then the id, each by a softmax over a row for the token itself plus what the attention gathers. Windows of 32 inputs
@@ -15,6 +15,7 @@ meet in one place: packs of texts send sorted word hashes and counts, by ranges
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -41,8 +42,6 @@ CONTEXT, SCORED, WIDTH = 8, 24, 16
 SPAN = CONTEXT + SCORED
 #: Windows that go through the attention at a time.
 BATCH = 80
-#: The vocabulary sample: rows and characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 8_000
 #: One in TRAIN_SHARE training documents trains the model, more if that is under TRAIN_BYTES of text.
 TRAIN_SHARE, TRAIN_BYTES = 64, 8_000_000
 ROUNDS, TRAINER_BYTES, MAX_TRAINERS, LEARN = 2, 2_000_000, 256, 0.01
@@ -93,17 +92,19 @@ class Cutter:
         return out
 
 
-def choose(texts: list[str], pieces: list[bytes]) -> list[bytes]:
-    """The ESCAPE - 1 pieces that are used most in texts; single bytes come before longer pieces of equal use."""
-    known, used = set(pieces), {}
+def uses(words: dict[bytes, int], known: set[bytes], used: dict[bytes, int]) -> None:
+    """Adds to used how often each known piece, or single byte, occurs in words, which are cut into the longest."""
     longest = max(map(len, known), default=1)
-    for t in texts:
-        for w in t.encode("utf-8", "replace").lower().split():
-            w, at = b" " + w, 0
-            while at < len(w):
-                size = next((s for s in range(min(longest, len(w) - at), 1, -1) if w[at : at + s] in known), 1)
-                used[w[at : at + size]] = used.get(w[at : at + size], 0) + 1
-                at += size
+    for w, n in words.items():
+        w, at = b" " + w, 0
+        while at < len(w):
+            size = next((s for s in range(min(longest, len(w) - at), 1, -1) if w[at : at + s] in known), 1)
+            used[w[at : at + size]] = used.get(w[at : at + size], 0) + n
+            at += size
+
+
+def choose(used: dict[bytes, int]) -> list[bytes]:
+    """The ESCAPE - 1 pieces of most use; single bytes come before longer pieces of equal use."""
     # the bytes of the alphabet are kept first, so that escapes are rare
     single: dict[bytes, int] = {}
     for p, n in used.items():
@@ -296,11 +297,21 @@ def _full(data: bytes) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
     """The model's pieces and parameters, from docs (doc_id, text). Null texts are empty; without rows it stays untrained."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # some sixteen times the rows that are needed pass the filter, so that no task sends the driver its own SAMPLE_ROWS
-    scale, count = 1 << 30, rows.count()
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(scale * min(1.0, 16 * SAMPLE_ROWS / max(1, count))))
-    sample = some.orderBy(F.xxhash64("text"), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS)
-    chosen = choose([r["text"] for r in sample.collect()], pieces if pieces is not None else vocabulary())
+    known = docs.sparkSession.sparkContext.broadcast(pieces if pieces is not None else vocabulary())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, used, all_known = Counter(), {}, set(known.value)
+        for (text,) in _values(batches):
+            found.update(text.encode("utf-8", "replace").lower().split())
+            if len(found) > CACHE:
+                uses(found, all_known, used)
+                found.clear()
+        uses(found, all_known, used)
+        yield pa.RecordBatch.from_arrays([pa.array(list(used), pa.binary()), pa.array(list(used.values()), pa.int64())], ["piece", "n"])
+
+    # no more rows than the public vocabulary has pieces, and single bytes
+    used = rows.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    chosen = choose({bytes(r["piece"]): r["n"] for r in used.collect()})
     whole = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     part = max(1 / TRAIN_SHARE, min(1.0, TRAIN_BYTES / max(1, whole)))
     share = checkpoint(rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(part * (1 << 20))))

@@ -85,6 +85,16 @@ def test_model_learns_held_out_text():
     assert after > 0.35 * before and after / (50 * 61) < -math.log10(6) * 60 / 61
 
 
+def test_vocabulary_counts_all_training_text(spark):
+    # more texts than a sample would take, and what stands late in a long one
+    rows = [(i, f"the and {i}") for i in range(1, 900)] + [(900, "the " * 3_000 + "qq " * 3_000)] + [(901, "an")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    used = {}
+    A.uses(Counter(w for _, t in rows for w in t.encode().split()), set(PIECES), used)
+    pieces, _ = A.fit(docs, PIECES)
+    assert pieces == A.choose(used) and used[b"q"] == 6_000 and b"q" in pieces and pieces.index(b"q") < pieces.index(b"d")
+
+
 def test_pieces_cover_every_word():
     cutter = A.Cutter(PIECES)
     names = {v: k for k, v in cutter.ids.items()}
