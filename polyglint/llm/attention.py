@@ -7,8 +7,8 @@ and then the id, each by a softmax over a row for the token itself plus what the
 overlap by 8 and score their last 24, so that each token is scored once; many windows go through masked batched
 attention at a time.
 
-Training is data-parallel: a fixed share of the training documents, so it grows with the corpus, is dealt to trainers
-whose models are averaged after each round. Word counts for the unigram base cover all training documents. They never
+Training is data-parallel: all training documents are dealt to rounds and in these to trainers, whose models are
+averaged after each round. Word counts for the unigram base cover all training documents. They never
 meet in one place: packs of texts send sorted word hashes and counts, by ranges of the hash, and get the sums back.
 """
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_rest, table
+from .common import checkpoint, crc_rest, release, table
 from .packs import PACKED as _PACKED
 from .packs import expand, squeeze
 from .packs import rows as _rows
@@ -42,9 +42,8 @@ CONTEXT, SCORED, WIDTH = 8, 24, 16
 SPAN = CONTEXT + SCORED
 #: Windows that go through the attention at a time.
 BATCH = 80
-#: One in TRAIN_SHARE training documents trains the model, more if that is under TRAIN_BYTES of text.
-TRAIN_SHARE, TRAIN_BYTES = 64, 8_000_000
-ROUNDS, TRAINER_BYTES, MAX_TRAINERS, LEARN = 2, 2_000_000, 256, 0.01
+#: Rounds, text that a trainer is given in one, most trainers, parts in which their models are averaged, and the rate.
+ROUNDS, TRAINER_BYTES, MAX_TRAINERS, MEANS, LEARN = 2, 2_000_000, 256, 8, 0.01
 PACK_BYTES, RANGE_WORDS, CACHE = 4 << 20, 1_000_000, 150_000
 #: The remainder of crc32(doc_id) modulo FOLDS that is held out, by contract.
 FOLDS, HELD_OUT = 10, 0
@@ -217,6 +216,16 @@ def log10_scores(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray
     return out / np.log(10) - escapes * np.log10(256)
 
 
+def _sums(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of values by their ids, of which there are size."""
+    order = np.argsort(ids, kind="stable")
+    ranked = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    out[ranked[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def gradients(model: dict[str, np.ndarray], windows: Windows, at: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
     """Gradients of the mean cross-entropy over a batch of windows, the sum of losses and the number of tokens."""
     n, attention = len(at) * SCORED, Attention(model)
@@ -229,8 +238,7 @@ def gradients(model: dict[str, np.ndarray], windows: Windows, at: np.ndarray) ->
     kind, tokens = target >> 4, max(1, int(real.sum()))
     share = (real / tokens).astype(weight.dtype)[:, None]
     loss, back, grads = 0.0, np.zeros((n, WIDTH), weight.dtype), {}
-    every, hot = np.arange(n), np.zeros((n, IDS), weight.dtype)
-    hot[every, now] = 1
+    every = np.arange(n)
 
     def error(logits: np.ndarray, wanted: np.ndarray, rows: np.ndarray) -> np.ndarray:
         nonlocal loss
@@ -242,24 +250,23 @@ def gradients(model: dict[str, np.ndarray], windows: Windows, at: np.ndarray) ->
         return logits * share[rows]
 
     wrong = error(model["class_direct"][now] + context @ model["class_out"], kind, every)
-    grads["class_direct"], grads["class_out"] = hot.T @ wrong, context.T @ wrong
+    grads["class_direct"], grads["class_out"] = _sums(now, wrong, IDS), context.T @ wrong
     back += wrong @ model["class_out"].T
-    grads["id_direct"], grads["id_out"] = np.zeros_like(model["id_direct"]), np.zeros_like(model["id_out"])
+    grads["id_out"], within = np.zeros_like(model["id_out"]), np.zeros((n, SIDE), weight.dtype)
     for k in range(SIDE):
         rows = np.flatnonzero(kind == k)
         if len(rows):
             wrong = error(model["id_direct"][now[rows], k] + context[rows] @ model["id_out"][k], target[rows] & 15, rows)
-            grads["id_direct"][:, k] = hot[rows].T @ wrong
+            within[rows] = wrong
             grads["id_out"][k] = context[rows].T @ wrong
             back[rows] += wrong @ model["id_out"][k].T
+    grads["id_direct"] = _sums(now.astype(np.uint16) * SIDE + kind.astype(np.uint16), within, IDS * SIDE).reshape(IDS, SIDE, SIDE)
     back = back.reshape(gathered.shape)
     d_weight = back @ value.transpose(0, 2, 1)
     d_score = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
     d_value, d_query, d_key = weight.transpose(0, 2, 1) @ back, d_score @ key, d_score.transpose(0, 2, 1) @ query
-    grads["query"] = hot.T @ d_query.reshape(n, WIDTH)
-    all_ids = np.zeros((ids.size, IDS), weight.dtype)
-    all_ids[np.arange(ids.size), ids.ravel()] = 1
-    grads["key"], grads["value"] = all_ids.T @ d_key.reshape(-1, WIDTH), all_ids.T @ d_value.reshape(-1, WIDTH)
+    grads["query"] = _sums(now, d_query.reshape(n, WIDTH), IDS)
+    grads["key"], grads["value"] = _sums(ids.ravel(), d_key.reshape(-1, WIDTH), IDS), _sums(ids.ravel(), d_value.reshape(-1, WIDTH), IDS)
     grads["distance"] = np.bincount(_APART.ravel(), d_score.sum(axis=0).ravel() * (_AHEAD.ravel() == 0), SPAN).astype(weight.dtype)
     return grads, loss, tokens
 
@@ -313,10 +320,7 @@ def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes]
     used = rows.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     chosen = choose({bytes(r["piece"]): r["n"] for r in used.collect()})
     whole = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    part = max(1 / TRAIN_SHARE, min(1.0, TRAIN_BYTES / max(1, whole)))
-    share = checkpoint(rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(part * (1 << 20))))
-    size = share.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    trainers = int(min(MAX_TRAINERS, max(1, size // (ROUNDS * TRAINER_BYTES))))
+    trainers = int(min(MAX_TRAINERS, max(1, whole // (ROUNDS * TRAINER_BYTES))))
     model, context = fresh(), docs.sparkSession.sparkContext
     for k in range(ROUNDS):
         shared = context.broadcast((chosen, _flat(model)))
@@ -326,17 +330,25 @@ def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes]
             texts = ([cutter.text(t.encode("utf-8", "replace").lower().split()) for t in b.column(0).slice(a, 100).to_pylist()] for b in batches for a in range(0, b.num_rows, 100))
             model, seen = train(start, texts)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_flat(model)], pa.binary())], ["seen", "model"])
-
-        part = share.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k).repartition(trainers, F.xxhash64("doc_id"), F.xxhash64("text")).select("text")
-        got = part.mapInArrow(learn, "seen long, model binary").collect()
-        if got:
-            total = sum(r["seen"] for r in got)
-            models = [(_full(bytes(r["model"])), r["seen"] / total) for r in got]
-            model = {k: sum(m[k] * np.float32(w) for m, w in models) for k in model}
+                number = TaskContext.get().partitionId() % MEANS
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(model)], pa.binary())], ["part", "seen", "model"])
+
+        part = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k).repartition(trainers, F.xxhash64("doc_id"), F.xxhash64("text")).select("text")
+        trained = part.mapInArrow(learn, "part long, seen long, model binary")
+        got = trained.groupBy("part").applyInArrow(_average, "seen long, model binary").toArrow()
+        if got.num_rows:
+            model = _full(_average(got).column("model")[0].as_py())
+        release(docs.sparkSession)
     return chosen, model
 
 
+def _average(group: pa.Table) -> pa.Table:
+    """Models and the tokens they have seen to their weighted mean and all tokens."""
+    seen = group.column("seen").to_pylist()
+    mean = sum(np.frombuffer(m.as_py(), "<f4") * (n / sum(seen)) for m, n in zip(group.column("model"), seen, strict=True))
+    return pa.table({"seen": pa.array([sum(seen)], pa.int64()), "model": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+
+
 def _texts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """All words, words by text, and the distinct words' hashes in order with each word's place among them."""
     flat, sizes = [], []

@@ -95,6 +95,19 @@ def test_vocabulary_counts_all_training_text(spark):
     assert pieces == A.choose(used) and used[b"q"] == 6_000 and b"q" in pieces and pieces.index(b"q") < pieces.index(b"d")
 
 
+def test_all_training_text_is_learnt_from(spark, monkeypatch):
+    rows = [(i, f"the {i}") for i in range(300)] + [(300, "and " * 40_000), (301, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(A, "TRAINER_BYTES", 20_000)
+    total, average = [], A._average
+    monkeypatch.setattr(A, "_average", lambda group: total.append(average(group).column("seen")[0].as_py()) or average(group))
+    pieces, model = A.fit(docs, PIECES)
+    cutter = A.Cutter(pieces)
+    # the driver's averages only: workers have their own list
+    assert sum(total) == sum(len(cutter.text((t or "").encode().split())) for _, t in rows)
+    assert all(np.isfinite(v).all() for v in model.values())
+
+
 def test_pieces_cover_every_word():
     cutter = A.Cutter(PIECES)
     names = {v: k for k, v in cutter.ids.items()}
