@@ -2,7 +2,8 @@
 
 Windows of eight template tokens of the benchmark are hashed into a table that every executor gets; documents stream
 past it whole. Windows that meet are laid side by side, and an alignment counts only if its slots are consistent: one
-value of the item stands for one value of the document throughout, and the other way round.
+value of the item stands for one value of the document throughout, and the other way round. Windows that are nearly
+all slots, and items no longer than a window, are also looked for word by word.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import table, words
 
 #: Template tokens in a window, and how many of them must be literal.
 WINDOW, MIN_LITERALS = 8, 4
-#: Items with fewer tokens than a window are matched whole, from this length on.
+#: Items with fewer tokens than a window are matched whole, as templates from this length on and else word by word.
 MIN_ITEM = 4
 #: A document leaks an item if so many of its tokens, or this share of them, are covered.
 MIN_TOKENS, MIN_SHARE = 13, 0.5
@@ -92,27 +93,35 @@ class Tokens:
         after = np.zeros(len(kind), bool)
         after[1:] = (kind[:-1] == NUMBER) & (self.doc[1:] == self.doc[:-1])
         self.slot = (kind == NUMBER) | (kind == UNIT) & after | (kind == CAPITAL) & ~first
+        self.literal = hashes.copy()
         hashes[kind == NUMBER] = _MARK["num"]
         hashes[(kind == UNIT) & after] = _MARK["unit"]
         hashes[(kind == CAPITAL) & ~first] = _MARK["name"]
         self.hash = hashes
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places where a window of one text with enough literals begins, and the windows' hashes."""
+    def windows(self, size: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a window of one text begins, and the windows' hashes; of templates only those with enough
+        literals, of literal words all."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        out = np.zeros(n, np.uint64)
+        out, hashes = np.zeros(n, np.uint64), self.literal if literal else self.hash
         for k in range(size):
             out *= _STEP
-            out += self.hash[k : k + n]
+            out += hashes[k : k + n]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        good = (self.doc[:n] == self.doc[size - 1 :]) & (size - (slots[size:] - slots[:-size]) >= min(MIN_LITERALS, size - 1))
+        good = self.doc[:n] == self.doc[size - 1 :]
+        if not literal:
+            good &= self.enough(size)
         at = np.flatnonzero(good)
         return at, out[at]
 
+    def enough(self, size: int) -> np.ndarray:
+        """Whether the window from each place on has literals enough for a template."""
+        slots = np.concatenate([[0], np.cumsum(self.slot)])
+        return size - (slots[size:] - slots[:-size]) >= min(MIN_LITERALS, size - 1)
+
 
 class Index:
     """Windows of a benchmark, or of a part of it."""
@@ -123,22 +132,27 @@ class Index:
         sizes = np.diff(self.tokens.start)
         self.sizes = sizes
         self.tables = []
-        for size in sorted({WINDOW, *[int(s) for s in sizes if MIN_ITEM <= s < WINDOW]}):
-            at, found = self.tokens.windows(size)
-            if size < WINDOW:
-                whole = sizes[self.tokens.doc[at]] == size
-                at, found = at[whole], found[whole]
+        for size, literal in sorted({(WINDOW, False), (WINDOW, True), *[(int(s), x) for s in sizes if 0 < s < WINDOW for x in (False, True) if x or s >= MIN_ITEM]}):
+            at, found = self.tokens.windows(size, literal)
+            whole = sizes[self.tokens.doc[at]] == size
+            if literal:
+                whole |= (size == WINDOW) & ~self.tokens.enough(size)[at]
+            elif size == WINDOW:
+                whole[:] = True
+            at, found = at[whole], found[whole]
+            if not len(at):
+                continue
             order = np.argsort(found, kind="stable")
             marks = np.zeros(1 << 20, bool)
             marks[(found >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((size, found[order], at[order], marks))
+            self.tables.append((size, literal, found[order], at[order], marks))
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, int, float, bool]]:
         """(text, item, tokens covered, share of the item, verbatim) for every pair that leaks."""
         tokens = Tokens(texts)
         lined: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for size, known, places, marks in self.tables:
-            at, found = tokens.windows(size)
+        for size, literal, known, places, marks in self.tables:
+            at, found = tokens.windows(size, literal)
             likely = marks[(found >> np.uint64(44)).astype(np.int64)]
             at, found = at[likely], found[likely]
             low, high = np.searchsorted(known, found, "left"), np.searchsorted(known, found, "right")
@@ -173,7 +187,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens, share (6 places) and verbatim for each document and benchmark item that it leaks.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null and empty texts leak nothing and match
-    nothing, nor do items of under four tokens. Repeated rows on either side give repeated rows. Empty tables give none.
+    nothing; items of under four tokens match word by word. Repeated rows on either side give repeated rows. Empty tables give none.
     A benchmark of any size is read in parts of PASS_WORDS words, each broadcast for one pass over the documents.
     """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")

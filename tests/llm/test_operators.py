@@ -166,6 +166,13 @@ def test_templates(spark, text, want):
     assert templates.find_leaks(docs.limit(0), bench).count() == 0 and templates.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("item", ["Compute 12 + 7.", "Anna Berg, Tom Hill and Eva Long met Max Roth", "Name Tom Hill", "12 13 14 15 16 17 18 19 20 21", "What is 12 plus 30 then"])
+def test_copies_without_literals(item):
+    index = templates.Index([(9, item)])
+    got = sorted(index.leaks([f"they said {item} and more", "they said Ada Moss, 3 + 9 and 4 5 6 7 8 9 10 11 12 13", item]))
+    assert [(doc, share, verbatim) for doc, _, _, share, verbatim in got] == [(0, 1, True), (2, 1, True)]
+
+
 def test_templates_in_several_passes(spark, monkeypatch):
     bench = spark.createDataFrame([(k, ITEM.replace("train", f"train{k}x")) for k in range(20)], "item_id long, text string")
     docs = bench.withColumnRenamed("item_id", "doc_id")
