@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates: numbers, names and units give way to typed placeholders.
 
 Windows of eight template tokens of the benchmark are hashed into a table that every executor gets; documents stream
-past it whole. Windows that meet are laid side by side, and an alignment counts only if its slots are consistent: one
-value of the item stands for one value of the document throughout, and the other way round. Windows that are nearly
+past it whole. Windows that meet are laid side by side in runs, which are cut where slots contradict each other: within
+a piece one value of the item stands for one value of the document, and the other way round. Windows that are nearly
 all slots, and items no longer than a window, are also looked for word by word.
 """
 
@@ -23,7 +23,7 @@ from .common import table, words
 
 #: Template tokens in a window, and how many of them must be literal.
 WINDOW, MIN_LITERALS = 8, 4
-#: Items with fewer tokens than a window are matched whole, as templates from this length on and else word by word.
+#: Tokens that a piece of a cut run must have to count. Items with fewer tokens than a window are matched whole, as templates from this length on and else word by word.
 MIN_ITEM = 4
 #: A document leaks an item if so many of its tokens, or this share of them, are covered.
 MIN_TOKENS, MIN_SHARE = 13, 0.5
@@ -164,23 +164,44 @@ class Index:
             covered: set[int] = set()
             verbatim = True
             for shift, places in by_shift.items():
-                if (same := self._consistent(tokens, shift, places)) is not None:
-                    covered |= places
+                order = sorted(places)
+                cuts = [0, *[k for k in range(1, len(order)) if order[k] != order[k - 1] + 1], len(order)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    found, same = self._consistent(tokens, shift, order[a:b])
+                    covered |= found
                     verbatim &= same
             share = len(covered) / max(1, int(self.sizes[item]))
             if covered and (len(covered) >= MIN_TOKENS or share >= MIN_SHARE):
                 yield doc, self.ids[item], len(covered), share, verbatim
 
-    def _consistent(self, tokens: Tokens, shift: int, places: set[int]) -> bool | None:
-        """None if slots contradict each other, else whether all slots are the same."""
+    def _consistent(self, tokens: Tokens, shift: int, run: list[int]) -> tuple[set[int], bool]:
+        """What a run covers, and whether all its slots are the same: the pieces between contradicting slots, and the
+        stretches of equal words, that are long enough."""
         there: dict[str, str] = {}
         back: dict[str, str] = {}
-        for j in sorted(places):
-            if self.tokens.slot[j]:
-                a, b = self.tokens.words[j].strip(_EDGE).lower(), tokens.words[j + shift].strip(_EDGE).lower()
-                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                    return None
-        return all(a == b for a, b in there.items())
+        covered: set[int] = set()
+        least, begin, equal, verbatim = min(MIN_ITEM, len(run)), 0, 0, True
+        for k, j in enumerate([*run, None]):
+            same = fits = False
+            if j is not None:
+                same = fits = not self.tokens.slot[j]
+                if not fits:
+                    a, b = self.tokens.words[j].strip(_EDGE).lower(), tokens.words[j + shift].strip(_EDGE).lower()
+                    same, fits = a == b, there.get(a, b) == b and back.get(b, a) == a
+                    verbatim &= same
+            if not fits:
+                if k - begin >= least:
+                    covered.update(run[begin:k])
+                begin = k
+                there.clear()
+                back.clear()
+            if j is not None and self.tokens.slot[j]:
+                there[a], back[b] = b, a
+            if not same:
+                if k - equal >= least:
+                    covered.update(run[equal:k])
+                equal = k + 1
+        return covered, verbatim
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

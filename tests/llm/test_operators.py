@@ -173,6 +173,25 @@ def test_copies_without_literals(item):
     assert [(doc, share, verbatim) for doc, _, _, share, verbatim in got] == [(0, 1, True), (2, 1, True)]
 
 
+STORY = "One day Tom took 4 red apples to the market and sold them for a good price there while Tom and the others went on to buy some bread and milk"
+FRUIT = "There are 2 apples and 2 oranges in the old basket so how many of them are there"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "least"),
+    [
+        (STORY, STORY.replace("while Tom", "while Tim"), 1),
+        (STORY, STORY.replace("One day Tom", "One day Tim"), 1),
+        (FRUIT, FRUIT.replace("2 apples", "3 apples").replace("2 oranges", "5 oranges"), 1),
+        (FRUIT.replace("2 oranges", "3 oranges"), FRUIT.replace("2", "4"), 1),
+        ("sum of 2 and 2 and 2 and 2 then", "sum of 3 and 4 and 5 and 6 then", 0),
+    ],
+)
+def test_contradicting_slots_cut(item, text, least):
+    got = list(templates.Index([(9, item)]).leaks([text]))
+    assert [(doc, share, verbatim) for doc, _, _, share, verbatim in got] == [(0, 1, False)] * least
+
+
 def test_templates_in_several_passes(spark, monkeypatch):
     bench = spark.createDataFrame([(k, ITEM.replace("train", f"train{k}x")) for k in range(20)], "item_id long, text string")
     docs = bench.withColumnRenamed("item_id", "doc_id")
