@@ -38,15 +38,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     """Dictionaries by language, from at most SAMPLE_ROWS distinct texts of each of at most MAX_LANGS languages.
 
     Rows whose text or language is null are passed over. The choice depends on the texts alone: those with the least
-    hash. A first pass counts rows by language, so that the second keeps only a small excess of the rows it needs.
+    hash modulo 2^30. A first pass counts rows and, nearly, distinct texts by language, so that the second keeps only a small
+excess of the texts it needs.
     """
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return {}
     spark, scale = labelled.sparkSession, 1 << 30
-    share = spark.createDataFrame([(k, int(min(1.0, 64 * SAMPLE_ROWS / n) * scale)) for k, n in counts.items()], "lang string, share long")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    share = spark.createDataFrame([(k, int(min(1.0, 64 * SAMPLE_ROWS / max(1, n)) * scale)) for k, n in counts.items()], "lang string, share long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(scale)), "hash"))
     picked = (
         rows.withColumn("hash", F.xxhash64("text"))
         .join(F.broadcast(share), "lang")

@@ -248,6 +248,14 @@ def test_language_id_on_held_out(spark):
     assert sum(right) / len(right) > 0.95
 
 
+def test_language_id_among_copies(spark):
+    copies = spark.range(300_000).select(F.lit("the same text again").alias("text"))
+    docs = copies.unionByName(spark.createDataFrame([(f"other words {k}",) for k in range(200)], "text string")).withColumn("lang", F.lit("en"))
+    model = langid.fit(docs)
+    assert len(model["en"].split(b"other words")) > langid.SAMPLE_ROWS - 1
+    assert model == langid.fit(docs.distinct())
+
+
 def test_language_id_odd_rows(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 !?", "fr"), (4, "the cat and the dog " * 9000, None), (4, "the cat", "en"), (4, "the cat", "en"), (5, "le chat", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
