@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
+from polyglint.llm import packs as P
 from polyglint.llm import rindex as R
 
 
@@ -52,53 +54,100 @@ def check(spark, rows, slices=4):
     assert got == brute(rows)
 
 
-def test_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_matches_brute_force(spark, monkeypatch, small):
+    if small:  # many packs, ranges, slots and indexes
+        for name, value in {"PACK_BYTES": 1500, "SLOT_BYTES": 500, "INDEX_BYTES": 300, "RANGE_HASHES": 40}.items():
+            monkeypatch.setattr(R, name, value)
     texts = corpus(1)
     ids = list(range(len(texts)))
     random.Random(2).shuffle(ids)
     check(spark, list(zip(ids, texts)))
 
 
-def test_odd_rows(spark):
+def test_a_line_in_every_document(spark, monkeypatch):
+    for name, value in {"PACK_BYTES": 4000, "SLOT_BYTES": 3000}.items():
+        monkeypatch.setattr(R, name, value)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(50))
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60)))
+    check(spark, [(i, noise() + line + noise()) for i in range(400)])
+
+
+def test_strings_that_the_owner_of_the_anchor_lacks(spark, monkeypatch):
+    """The first pack has the anchors alone; the strings around them repeat among later ones."""
+    monkeypatch.setattr(R, "PACK_BYTES", 200)
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = some(40)
+    tails = [some(30) for _ in range(6)]
+    check(spark, [(0, some(50) + core)] + [(i, some(50) + core + tails[i % 6]) for i in range(1, 40)])
+
+
+def test_odd_rows(spark, monkeypatch):
     long = "".join(random.Random(4).choice("abcdefgh ") for _ in range(60_000))
-    check(spark, [(1, None), (2, ""), (3, "short"), (3, "short"), (None, long[:80]), (None, long[:80]), (9, long), (9, long[10:90]), (5, long[30_000:30_049]), (4, long[100:150])])
+    rows = [(1, None), (2, ""), (3, "short"), (3, "short"), (None, long[:80]), (None, long[:80]), (None, long[40:140]), (9, long), (9, long), (9, long[10:90]), (5, long[30_000:30_049]), (4, long[100:150]), (7, "a" * 300), (6, "a" * 60), (-5, long[50_000:50_100])]
+    check(spark, rows)
+    monkeypatch.setattr(R, "PACK_BYTES", 50)
+    check(spark, rows)
+    clash = spark.createDataFrame([(1, "x" * 60, 1, b"", 2), (2, "x" * 70, 1, b"", 2)], "doc_id long, text string, pack int, payload binary, bin int")
+    assert sorted((r.doc_id, r.n_removed) for r in R.remove_repeats(clash).collect()) == [(1, 0), (2, 70)]
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string, n_bytes int")).count() == 0
 
 
-def test_index_streams_foreign_texts():
+def pieces(texts, docs):
+    zero = np.zeros(len(texts), np.int64)
+    return R.Pieces(zero, zero, np.array(docs, np.int64), texts)
+
+
+def expected(texts, docs, others):
+    least = {}
+    for t, d in zip(texts, docs):
+        for i in range(len(t) - R.LENGTH + 1):
+            least[t[i : i + R.LENGTH]] = min(least.get(t[i : i + R.LENGTH], R.NEVER), d)
+    return [least.get(t[i : i + R.LENGTH], R.NEVER) for t in others for i in range(len(t) - R.LENGTH + 1)]
+
+
+def matched(texts, docs, others, **how):
+    found, starts = R.earliest(pieces(texts, docs), others, **how)
+    return [int(x) for a, b in zip(starts[:-1], starts[1:]) for x in found[a : b - R.LENGTH + 1]]
+
+
+@pytest.mark.parametrize("how", [{}, {"index_bytes": 200, "lane": 7}])
+def test_index_streams_foreign_texts(how):
     rng = random.Random(6)
     for _ in range(20):
         texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(50, 90))).encode() for _ in range(12)]
-        docs = np.arange(12)
-        rng.shuffle(docs)
-        index = R.RunIndex(texts, docs)
+        docs = rng.sample(range(12), 12)
         other = [t[5:40] + t[3:60] for t in texts] + [b"c" * 60, texts[0], b"b" + texts[1] + b"c"]
-        text, place, earliest, _ = index.stream(other)
-        got = dict(zip(zip(text.tolist(), place.tolist()), earliest.tolist()))
-        want = {}
-        for k, t in enumerate(other):
-            for i in range(len(t) - R.LENGTH + 1):
-                having = [int(d) for s, d in zip(texts, docs) if t[i : i + R.LENGTH] in s]
-                if having:
-                    want[k, i] = min(having)
-        assert got == want
+        assert matched(texts, docs, other, **how) == expected(texts, docs, other)
 
 
 def test_index_tells_close_copies_apart():
     for seed in range(20):
         rng = random.Random(seed)
-        passage = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(80))
+        passage = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(180))
         texts = sorted({bytes(rng.choice(b"abcdefghijklmnop ") if rng.random() < 0.03 else c for c in passage) for _ in range(70)})
         rng.shuffle(texts)
-        text, place, earliest, _ = R.RunIndex(texts, np.arange(len(texts))).stream(texts)
-        got = dict(zip(zip(text.tolist(), place.tolist()), earliest.tolist()))
-        windows = {(k, i): t[i : i + R.LENGTH] for k, t in enumerate(texts) for i in range(len(t) - R.LENGTH + 1)}
-        least = {}
-        for (k, _), w in windows.items():
-            least[w] = min(least.get(w, k), k)
-        assert got == {at: least[w] for at, w in windows.items()}
+        assert matched(texts, range(len(texts)), texts) == expected(texts, range(len(texts)), texts)
+
+
+def test_index_is_run_length_compressed():
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(2000))
+    sizes = []
+    for copies in (1, 50):
+        texts = [passage[:k] + b"#" + passage[k:] for k in rng.sample(range(2000), copies)]
+        index = R.RunIndex(texts, np.arange(len(texts)))
+        sizes.append((len(index.start), len(index.range)))
+    assert sizes[1][0] < 4 * sizes[0][0] and sizes[1][1] < 20 * sizes[0][1] + 4000
 
 
 def test_numbers_come_back():
-    values = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
-    assert (R.expand(R.squeeze(values)) == values).all() and len(R.expand(R.squeeze(values[:0]))) == 0
+    values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    (a, b), body = freeze_back([values, values[:0]], b"rest")
+    assert (a.view(np.uint64) == values).all() and len(b) == 0 and body == b"rest"
+
+
+def freeze_back(arrays, body):
+    return P.thaw(P.freeze(arrays, body))
