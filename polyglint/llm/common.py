@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -14,20 +16,30 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 #: A key that holds more than this share of all rows is looked up in a broadcast table; there are at most 2000 of them.
 HEAVY_SHARE = 1 / 2000
+#: Narrow tables are broadcast up to so many rows, some ten megabytes.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's checkpoint folder and cuts its lineage there.
-
-    The folder is that of spark.checkpoint.dir; only a session without one (tests) gets a local folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir; a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    if (folder := context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the cluster's shared folder and cuts its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -37,6 +49,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (few narrow columns, counted cheaply) marked for broadcast if it has at most so many rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def plain_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores in front until df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -54,11 +71,12 @@ def heavy_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str
     """
     on = list(on)
     limit = max(1.0, total * HEAVY_SHARE)
-    mark = "__heavy"
-    hot = F.broadcast(right.where(F.col(weight) > limit).withColumn(mark, F.lit(True)))
+    mark = plain_name(left, plain_name(right, "__heavy"))
     extra = [c for c in right.columns if c not in on]
+    hot = F.broadcast(right.where(F.col(weight) > limit).select(*on, F.struct(*extra).alias(mark)))
+    # left is read once for each part, and is best a checkpoint; only rows without a hot key go through the shuffle
     tagged = left.join(hot, on, "left")
-    first = tagged.where(F.col(mark)).select(*left.columns, *extra)
+    first = tagged.where(F.col(mark).isNotNull()).select(*left.columns, *[F.col(f"{mark}.{c}").alias(c) for c in extra])
     cold = tagged.where(F.col(mark).isNull()).select(*left.columns)
     rest = cold.join(right.where(F.col(weight) <= limit), on, how).select(*left.columns, *extra)
     return first.unionByName(rest)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, heavy_join, plain_name, table, words
+from .common import broadcast_if_small, checkpoint, heavy_join, plain_name, table, words
 
 #: Fixed values of the base rule: least words, and the most words (in hundredths) inside repeated five-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -36,51 +36,65 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (long); see op8's contract.
 
-    A null text counts as empty. Own columns of these names are replaced.
+    A null text counts as empty; texts of any length are counted whole. Own columns of these names are replaced, all
+    others stay.
     """
-    kept = [c for c in docs.columns if c not in (*_COUNTS, "__words", "__lines", "win", "__text")]
-    out = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    out = out.select(*kept, "__text", words("__text").alias("__words"), F.expr(r"filter(split(__text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("__lines"))
-    win = "IF(size(__words) < 5, array(), transform(sequence(1, size(__words) - 4), i -> xxhash64(element_at(__words, i), element_at(__words, i + 1), element_at(__words, i + 2), element_at(__words, i + 3), element_at(__words, i + 4))))"
+    kept = [c for c in docs.columns if c not in _COUNTS]
+    text, found, lines, win, row = (plain_name(docs, c) for c in ("__text", "__words", "__lines", "__win", "__row"))
+    out = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
+    out = out.select(*kept, text, words(text).alias(found), F.expr(rf"filter(split({text}, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias(lines))
+    five = ", ".join(f"element_at({found}, i + {k})" for k in range(5))
     out = out.select(
         *kept,
-        F.size("__words").cast("long").alias("n_words"),
-        F.expr("aggregate(__words, 0L, (a, w) -> a + length(w))").alias("word_chars"),
-        F.expr("CAST(regexp_count(__text, '[#*$%&|<>]') AS long)").alias("n_symbols"),
-        F.expr("CAST(size(__lines) - size(array_distinct(__lines)) AS long)").alias("n_dup_lines"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.expr(win).alias("win"),
-        F.monotonically_increasing_id().alias("__row"),
+        F.size(found).cast("long").alias("n_words"),
+        F.expr(f"aggregate({found}, 0L, (a, w) -> a + length(w))").alias("word_chars"),
+        F.expr(f"CAST(regexp_count({text}, '[#*$%&|<>]') AS long)").alias("n_symbols"),
+        F.expr(f"CAST(size({lines}) - size(array_distinct({lines})) AS long)").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.expr(f"IF(size({found}) < 5, array(), transform(sequence(1, size({found}) - 4), i -> xxhash64({five})))").alias(win),
+        F.monotonically_increasing_id().alias(row),
     )
-    # filters of callers stop at a column that is not deterministic; below it they would work out `win` for each lambda
-    out = out.where("__row >= 0").drop("__row")
-    return out.withColumn("n_repeat_words", F.expr(_REPEATS)).drop("win")
+    # filters of callers stop at a column that is not deterministic; below it they would work out the windows for each lambda
+    out = out.where(F.col(row) >= 0).drop(row)
+    return out.withColumn("n_repeat_words", F.expr(_REPEATS.replace("win", win))).drop(win)
+
+
+def _ruled(docs: DataFrame) -> DataFrame:
+    """docs with the counts, base_failed and rule_failed."""
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    other = (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
+    return features(docs).withColumn("base_failed", base).withColumn("rule_failed", base | other)
 
 
 def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """docs without text, with the counts, base_failed, rule_failed, host_rate (6 places) and kept.
 
     A document fails a rule if it fails the base rule or has too many symbols or duplicate lines. kept is false if the
-    base rule fails or the host is rejected. A null host is a host of its own. Clashing columns are replaced; an empty
-    table gives an empty result.
+    base rule fails or the host is rejected. A null host is a host of its own. Clashing columns are replaced; repeated
+    rows are judged alike, each counting for its host; an empty table gives an empty result.
     """
-    own = [c for c in docs.columns if c not in ("text", *_COUNTS, "base_failed", "rule_failed", "host_rate", "kept")]
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    other = (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
-    found = features(docs.select(*own, "text")).withColumn("base_failed", base).withColumn("rule_failed", base | other)
-    found = checkpoint(found.select(*own, *_COUNTS, "base_failed", "rule_failed", F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("__host")))
-    return _verdicts(found, max_host_rate).withColumn("kept", ~F.col("base_failed") & ~F.col("__bad")).drop("__host", "__bad")
+    own = {f"__own{k}": c for k, c in enumerate(docs.columns) if c not in ("text", *_COUNTS, "base_failed", "rule_failed", "host_rate", "kept")}
+    found = _ruled(docs.select(*[F.col(c).alias(n) for n, c in own.items()], "text", _named(host).alias("__host")))
+    found = checkpoint(found.drop("text"))
+    hosts, total = _hosts(found, max_host_rate)
+    out = heavy_join(found, hosts, ["__host"], "__n", total)
+    kept = ~F.col("base_failed") & ~F.col("__bad")
+    return out.select(*[F.col(n).alias(c) for n, c in own.items()], *_COUNTS, "base_failed", "rule_failed", "host_rate", kept.alias("kept"))
+
+
+def _named(host: str):
+    return F.coalesce(F.col(host).cast("string"), F.lit("\0"))
 
 
-def _verdicts(found: DataFrame, max_host_rate: float) -> DataFrame:
+def _hosts(found: DataFrame, max_host_rate: float) -> tuple[DataFrame, int]:
+    """(__host, __n, host_rate, __bad) of what _ruled() found, and the number of documents."""
     hosts = checkpoint(found.groupBy("__host").agg(F.count("*").alias("__n"), F.sum(F.col("rule_failed").cast("long")).alias("__f")))
     whole = hosts.agg(F.sum("__n").alias("n"), F.sum("__f").alias("f"), F.count("*").alias("h"), F.sum(F.col("__f") * F.col("__f") / F.col("__n")).alias("sq"))
     n, f, h, sq = whole.first()
     mean = (f or 0) / n if n else 0.0
     alpha, beta = beta_prior(n or 0, f or 0, h, sq or 0.0)
     rate = (F.col("__f") + F.lit(alpha)) / (F.col("__n") + F.lit(alpha + beta)) if n else F.lit(mean)
-    hosts = hosts.select("__host", "__n", F.round(rate, 6).alias("host_rate"), (rate > max_host_rate).alias("__bad"))
-    return heavy_join(found, hosts, ["__host"], "__n", n or 0).drop("__n")
+    return hosts.select("__host", "__n", F.round(rate, 6).alias("host_rate"), (rate > max_host_rate).alias("__bad")), n or 0
 
 
 def beta_prior(n: int, f: int, hosts: int, sq: float) -> tuple[float, float]:
@@ -99,16 +113,16 @@ def beta_prior(n: int, f: int, hosts: int, sq: float) -> tuple[float, float]:
 def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """docs without the rows that judge() would not keep; columns and repeated rows stay as they are.
 
-    The rules are worked out again next to the text, so that only the short list of rejected hosts is joined.
+    The rules are worked out once. Rows that fail the base rule are laid by without their columns, for their host's rate;
+    the others wait, whole, for the list of rejected hosts, which is broadcast up to a checked number of hosts.
     """
-    bad, text = plain_name(docs, "__bad_host"), plain_name(docs, "__kept_text")
-    judged = judge(docs.select(F.col(host).alias("__source"), "text"), "__source", max_host_rate)
-    rejected = judged.where(~F.col("base_failed") & ~F.col("kept")).select(F.coalesce(F.col("__source").cast("string"), F.lit("\0")).alias(bad)).distinct()
-    own = [F.col(c).alias(f"__own{k}") for k, c in enumerate(docs.columns)]
-    found = features(docs.select(*own, F.col("text"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias(text)))
-    good = found.where(~((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
-    good = good.join(rejected, good[text] == rejected[bad], "left_anti")
-    return good.select(*[F.col(f"__own{k}").alias(c) for k, c in enumerate(docs.columns)])
+    own = {f"__own{k}": c for k, c in enumerate(docs.columns)}
+    found = _ruled(docs.select(F.struct(*[F.col(c).alias(n) for n, c in own.items()]).alias("__all"), "text", _named(host).alias("__host")))
+    found = checkpoint(found.select("__host", "rule_failed", F.when(~F.col("base_failed"), F.col("__all")).alias("__all")))
+    hosts, _ = _hosts(found, max_host_rate)
+    bad = broadcast_if_small(checkpoint(hosts.where("__bad").select(F.col("__host"))))
+    good = found.where("__all IS NOT NULL").join(bad, "__host", "left_anti")
+    return good.select(*[F.col(f"__all.{n}").alias(c) for n, c in own.items()])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
