@@ -22,10 +22,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, heavy_join, plain_name, table
+from .common import checkpoint, heavy_join, plain_name, release, table
 from .graphs import components
 
 SHINGLE = 5
@@ -33,8 +34,8 @@ SIMILARITY = Fraction(4, 5)
 #: 24 bands of 4 registers: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Texts of a cluster that one task holds as members, and as queries.
-BLOCK_TEXTS = 2000
+#: Texts of a cluster, and bytes of them, that one task holds as members, and as queries, on average.
+BLOCK_TEXTS, BLOCK_BYTES = 2000, 8 << 20
 #: Words that are sketched at a time, and distinct words a worker remembers.
 CHUNK_WORDS, CACHE = 200_000, 300_000
 
@@ -157,13 +158,20 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def overlap(a: str, b: str, similarity: Fraction = SIMILARITY, known: dict | None = None) -> bool:
-    """Whether the weighted Jaccard similarity of two texts' bags of shingles is similarity or more, exactly."""
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, bytes of the text, compressed text): it travels several times."""
+    for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+        texts = [t.encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array([len(t) for t in texts], pa.int64()), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())], ["key", "size", "text"])
+
 
-    def bag(text: str) -> Counter:
+def overlap(a: bytes, b: bytes, similarity: Fraction = SIMILARITY, known: dict | None = None) -> bool:
+    """Whether the weighted Jaccard similarity of two compressed texts' bags of shingles is similarity or more, exactly."""
+
+    def bag(text: bytes) -> Counter:
         if known is not None and text in known:
             return known[text]
-        found = text.encode("utf-8", "replace").split()
+        found = zstandard.decompress(text).split()
         out = Counter(b" ".join(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))) if found else Counter()
         if known is not None:
             if len(known) >= 4:
@@ -200,7 +208,7 @@ def _joined(group: pa.Table, similarity: Fraction) -> Iterator[tuple[bytes, byte
     """Links that join different classes, of the queries of one block with its members; a spanning set of them."""
     keys, labels, query = (group.column(c).to_pylist() for c in ("key", "label", "query"))
     raw = group.column("text").to_pylist()
-    doc, shingle, weight = Bags.of([t.encode("utf-8", "replace") for t in raw])
+    doc, shingle, weight = Bags.of([zstandard.decompress(t) for t in raw])
     total = np.bincount(doc, weight, len(keys))
     starts = np.searchsorted(doc, np.arange(len(keys) + 1))
     member = ~np.array(query, bool)[doc]
@@ -236,14 +244,20 @@ def links(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     members = checkpoint(docs.mapInArrow(_banded, "key binary, buckets array<long>").select("key", F.explode("buckets").alias("bucket")).distinct())
     shared = members.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
     members = checkpoint(members.join(shared, "bucket").select("bucket", "key"))
+    release(docs.sparkSession)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("rows"))
     total = max(1, members.count())
     met = heavy_join(members, sizes, ["bucket"], "rows", total).groupBy("key").agg(F.sum("rows").alias("met"))
     pivots = members.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("best"), F.count("*").alias("rows")).select("bucket", F.col("best.key").alias("pivot"), "rows")
     pairs = checkpoint(heavy_join(members, pivots, ["bucket"], "rows", total).where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
-    texts = checkpoint(docs.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    good = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = docs.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    texts = checkpoint(texts.mapInArrow(_squeezed, "key binary, size long, text binary"))
+    del members, sizes, met, pivots
+    release(docs.sparkSession)
+    side = lambda end: texts.select(F.col("key").alias(end), F.col("text").alias(f"t{end}"))
+    good = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     good = checkpoint(good.mapInArrow(_verified(similarity), "a binary, b binary"))
+    release(docs.sparkSession)
     labels = components(good)
     clusters = components(pairs).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
     # components() lists the ends of links but for the least of each, which is its own label
@@ -251,19 +265,27 @@ def links(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     named = checkpoint(clusters.join(labels, clusters["key"] == labels["node"], "left").select("key", "cluster", F.coalesce("label", "key").alias("label")))
     by_label = named.groupBy("cluster", "label").agg(F.count("*").alias("rows"))
     main = by_label.groupBy("cluster").agg(F.max(F.struct("rows", "label")).alias("main"), F.sum("rows").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    main = checkpoint(main.select("cluster", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.rows")).alias("strays")))
+    main = checkpoint(main.select("cluster", F.col("main.label").alias("main"), "n"))
     if main.isEmpty():
         return labels
+    stray = F.col("label") != F.col("main")
     open_ = heavy_join(named, main, ["cluster"], "n", max(1, named.count()))
-    blocks, chunks = (F.ceil(F.col(c) / BLOCK_TEXTS) for c in ("n", "strays"))
+    open_ = checkpoint(open_.join(texts.select("key", "size"), "key").select("key", "cluster", "label", stray.alias("stray"), "size"))
+    part = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES))
+    loads = open_.groupBy("cluster").agg(
+        part(F.count("*"), F.sum("size")).alias("blocks"), part(F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("size")))).alias("chunks"), F.count("*").alias("n")
+    )
+    open_ = heavy_join(open_, loads, ["cluster"], "n", max(1, open_.count()))
     split = lambda n: F.pmod(F.xxhash64("key"), n)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    own = open_.select("cluster", "key", "label", F.lit(False).alias("query"), split(blocks).alias("block"), spread(chunks).alias("chunk"))
-    asked = open_.where("label <> main").select("cluster", "key", "label", F.lit(True).alias("query"), split(chunks).alias("chunk"), spread(blocks).alias("block"))
-    found = own.unionByName(asked).join(texts, "key").groupBy("cluster", "block", "chunk").applyInArrow(
+    own = open_.select("cluster", "key", "label", F.lit(False).alias("query"), split(F.col("blocks")).alias("block"), spread(F.col("chunks")).alias("chunk"))
+    asked = open_.where("stray").select("cluster", "key", "label", F.lit(True).alias("query"), split(F.col("chunks")).alias("chunk"), spread(F.col("blocks")).alias("block"))
+    found = own.unionByName(asked).join(texts.select("key", "text"), "key").groupBy("cluster", "block", "chunk").applyInArrow(
         lambda table_: pa.Table.from_pylist([{"a": a, "b": b} for a, b in _joined(table_, similarity)], pa.schema([("a", pa.binary()), ("b", pa.binary())])), "a binary, b binary"
     )
-    return components(good.unionByName(checkpoint(found)))
+    found = checkpoint(found)
+    release(docs.sparkSession)
+    return components(good.unionByName(found))
 
 
 def classes(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -289,12 +311,15 @@ def classes(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of the least doc_id (null last), of equal rows any one."""
     found = checkpoint(classes(docs, similarity))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    best = found.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(order).alias("best")).select("best.doc_id", "best.key")
+    release(docs.sparkSession)
+    rows = found.where("class_key IS NOT NULL").groupBy("class_key", "doc_id", "key").agg(F.count("*").alias("n"))
+    best = checkpoint(rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("best")).select("best.doc_id", "best.key", "best.n"))
     id_, key = plain_name(docs, "__id"), plain_name(docs, "__key")
     keyed = docs.withColumn(key, content_key())
-    best = best.select(F.col("doc_id").alias(id_), F.col("key").alias(f"{key}2"))
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best[id_]) & (keyed[key] == best[f"{key}2"]), "left_semi").dropDuplicates([key])
+    best = best.select(F.col("doc_id").alias(id_), F.col("key").alias(f"{key}2"), "n")
+    chosen = lambda b: keyed.join(b, keyed["doc_id"].eqNullSafe(b[id_]) & (keyed[key] == b[f"{key}2"]), "left_semi")
+    # both parts read one shuffle of the texts; only repeated rows are shuffled again
+    kept = chosen(best.where("n = 1")).unionByName(chosen(best.where("n > 1")).dropDuplicates([key]))
     return kept.unionByName(keyed.where(F.col(key).isNull())).select(*docs.columns)
 
 
