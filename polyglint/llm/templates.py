@@ -9,17 +9,18 @@ all slots, and items no longer than a window, are also looked for word by word.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, words
+from .common import broadcast_if_small, checkpoint, plain_name, table
 
 #: Template tokens in a window, and how many of them must be literal.
 WINDOW, MIN_LITERALS = 8, 4
@@ -27,8 +28,8 @@ WINDOW, MIN_LITERALS = 8, 4
 MIN_ITEM = 4
 #: A document leaks an item if so many of its tokens, or this share of them, are covered.
 MIN_TOKENS, MIN_SHARE = 13, 0.5
-#: Benchmark words that one broadcast table may hold (under 100 MB); a larger benchmark takes several passes.
-PASS_WORDS = 1_000_000
+#: Benchmark text that one broadcast table may hold (its index takes some ten times as much); a larger benchmark takes several passes.
+PASS_BYTES = 8 << 20
 #: Distinct words a worker remembers before it starts afresh.
 CACHE = 300_000
 
@@ -207,37 +208,46 @@ class Index:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens, share (6 places) and verbatim for each document and benchmark item that it leaks.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null and empty texts leak nothing and match
-    nothing; items of under four tokens match word by word. Repeated rows on either side give repeated rows. Empty tables give none.
-    A benchmark of any size is read in parts of PASS_WORDS words, each broadcast for one pass over the documents.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored, and ids of any type, null ones too, come back
+    as they are. Null and empty texts leak nothing and match nothing; documents of any length are searched whole. Windows
+    with fewer than MIN_LITERALS literals, and items of under MIN_ITEM tokens, match word by word. Repeated rows on either
+    side give repeated rows. Empty tables give none. A benchmark of any size is read in parts of about PASS_BYTES bytes,
+    each broadcast for one pass over the documents.
     """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.size(words("text")).cast("long"))).first()[0] or 0
-    parts = max(1, -(-total // PASS_WORDS))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_tokens long, share double, verbatim boolean"
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-total // PASS_BYTES))
+    kind = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, n_tokens long, share double, verbatim boolean"
     out = None
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
-        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(_search(docs, rows, schema), schema)
+        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(_search(docs, rows, to_arrow_type(kind)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(docs: DataFrame, rows: list[tuple[int, str]], schema: str):
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+#: The index that this worker built last, by the search that it is for; tasks of one search share it.
+_built: dict[str, Index] = {}
+
+
+def _search(docs: DataFrame, rows: list[tuple], kind: pa.DataType):
+    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        if name not in _built:
+            _built.clear()
+            _built[name] = Index(shared.value)
+        index = _built[name]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = part.column(0)
                 found = list(index.leaks(part.column(1).to_pylist()))
                 if found:
-                    frame = pd.DataFrame(found, columns=["doc", "item", "n", "share", "verbatim"])
+                    doc, item, n, share, verbatim = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(frame["doc"])), pa.array(frame["item"].tolist()), pa.array(frame["n"], pa.int64()), pa.array(frame["share"].round(6), pa.float64()), pa.array(frame["verbatim"], pa.bool_())],
+                        [part.column(0).take(pa.array(doc)), pa.array(item, kind), pa.array(n, pa.int64()), pa.array([round(x, 6) for x in share], pa.float64()), pa.array(verbatim, pa.bool_())],
                         ["doc_id", "item_id", "n_tokens", "share", "verbatim"],
                     )
 
@@ -246,8 +256,9 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], schema: str):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose document leaks an item; rows with a null doc_id stay unless a null one leaks."""
-    bad = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    name = plain_name(docs, "__bad")
+    bad = broadcast_if_small(checkpoint(find_leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
