@@ -50,67 +50,105 @@ def plain(model, ids):
     return total / math.log(10)
 
 
+def random_model(rng, scale, kind):
+    return {k: rng.normal(0, scale, v.shape).astype(kind) for k, v in (A.fresh() | A.direct(np.zeros((A.IDS, A.IDS)))).items()}
+
+
+def as_ids(texts):
+    return A.Ids(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(0)
-    model = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in A.fresh().items()}
+    model = random_model(rng, 0.5, np.float32)
     texts = [bytes([*rng.integers(1, A.IDS, n).tolist(), A.END]) for n in (0, 1, 30, 31, 32, 33, 200)]
-    assert A.log10_scores(model, texts) == pytest.approx([plain(model, t) for t in texts], rel=1e-4)
+    assert A.log10_scores(model, as_ids(texts)) == pytest.approx([plain(model, t) for t in texts], rel=1e-4)
 
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
-    model = {k: rng.normal(0, 0.3, v.shape) for k, v in A.fresh().items()}
-    windows = A.Windows([bytes([*rng.integers(1, A.IDS, 70).tolist(), A.END]), b"\0"])
-    at = np.arange(len(windows.begin))
-    grads, _, tokens = A.gradients(model, windows, at)
+    attention = A.Attention(random_model(rng, 0.3, np.float64))
+    windows = A.Windows(as_ids([bytes([*rng.integers(1, A.IDS, 70).tolist(), A.END]), b"\0"]))
+    taken = A.Taken.unpacked(windows.taken(np.arange(len(windows.begin))).packed())
+    grads, _, tokens = A.gradients(attention, taken)
+    assert tokens == 72 and set(grads) == set(A.fresh())
     for k, g in grads.items():
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
-        model[k][i] += 1e-4
-        up = A.gradients(model, windows, at)[1]
-        model[k][i] -= 2e-4
-        down = A.gradients(model, windows, at)[1]
-        model[k][i] += 1e-4
+        i, own = np.unravel_index(np.abs(g).argmax(), g.shape), attention.model[k]
+        own[i] += 1e-4
+        up = A.gradients(attention, taken)[1]
+        own[i] -= 2e-4
+        down = A.gradients(attention, taken)[1]
+        own[i] += 1e-4
         assert g[i] == pytest.approx((up - down) / (2e-4 * tokens), rel=1e-3)
 
 
 def test_model_learns_held_out_text():
-    cutter = A.Cutter(PIECES)
-    rng = np.random.default_rng(2)
-    words = [b"the", b"thing", b"and", b"anthem", b"inga", b"bath"]
-    texts = [cutter.text([words[k] for k in rng.integers(0, 6, 60)]) for _ in range(300)]
-    model, seen = A.train(A.fresh(), (texts[a : a + 50] for _ in range(20) for a in range(0, 250, 50)))
-    before, after = A.log10_scores(A.fresh(), texts[250:]).sum(), A.log10_scores(model, texts[250:]).sum()
-    assert seen == 20 * sum(map(len, texts[:250]))
-    # six equally likely words: no model can do better than log10(6) for each
-    assert after > 0.35 * before and after / (50 * 61) < -math.log10(6) * 60 / 61
-
-
-def test_vocabulary_counts_all_training_text(spark):
-    # more texts than a sample would take, and what stands late in a long one
-    rows = [(i, f"the and {i}") for i in range(1, 900)] + [(900, "the " * 3_000 + "qq " * 3_000)] + [(901, "an")] * 50
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    used = {}
-    A.uses(Counter(w for _, t in rows for w in t.encode().split()), set(PIECES), used)
-    pieces, _ = A.fit(docs, PIECES)
-    assert pieces == A.choose(used) and used[b"q"] == 6_000 and b"q" in pieces and pieces.index(b"q") < pieces.index(b"d")
+    """Words in turn, which pairs of ids alone can't tell: only what stands before them does."""
+    trie, rng = A.Trie(PIECES), np.random.default_rng(2)
+    make = lambda: b" ".join([b"the", b"thing", b"and"][(int(k) + j) % 3] for k in [rng.integers(3)] for j in range(60))
+    texts = [A.Ids.of(A.Words.of([make() for _ in range(50)]), trie) for _ in range(6)]
+    pairs = sum(np.histogram2d(np.append(A.END, t.flat[:-1]), t.flat, bins=(np.arange(A.IDS + 1),) * 2)[0] for t in texts[:5])
+    start = A.fresh() | A.direct(pairs)
+    every = [A.Windows(t).taken(np.arange(len(A.Windows(t).begin))) for t in texts[:5]]
+    own, seen = A.train(start, (w for _ in range(20) for w in every))
+    before, after = A.log10_scores(start, texts[5]).sum(), A.log10_scores(start | own, texts[5]).sum()
+    assert seen == 20 * sum(len(t.flat) for t in texts[:5])
+    assert after > 0.65 * before
+
+
+def longest(word, pieces):
+    """A word's pieces, the longest first; parts of LANE bytes of a longer one on their own."""
+    out, word = [], b" " + word
+    for a in range(0, len(word), A.LANE):
+        part, at = word[a : a + A.LANE], 0
+        while at < len(part):
+            piece = max((p for p in pieces if part.startswith(p, at)), key=len, default=part[at : at + 1])
+            out.append(piece)
+            at += len(piece)
+    return out
 
 
-def test_all_training_text_is_learnt_from(spark, monkeypatch):
-    rows = [(i, f"the {i}") for i in range(300)] + [(300, "and " * 40_000), (301, None)]
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_pieces_of_words(monkeypatch, chunk):
+    monkeypatch.setattr(A, "TEXT_BYTES", chunk)
+    rng = np.random.default_rng(3)
+    texts = ["The  thing\tand", "", " \n", "xyz é qqthe", "a", "the" * 70 + " thean", "ing" * 300] + ["".join(rng.choice(list("thean gi\n"), 90)) for _ in range(30)]
+    data = [t.encode() for t in texts]
+    words = A.Words.of(data)
+    assert words.counts.tolist() == [len(t.split()) for t in data]
+    got, used = A.Ids.of(words, A.Trie(PIECES)), np.zeros(len(PIECES) + 256, np.int64)
+    A.uses(words, A.Trie(PIECES), used)
+    want, counts = [], Counter()
+    for t in data:
+        found = [p for w in t.lower().split() for p in longest(w, PIECES)]
+        counts.update(found)
+        want += [PIECES.index(p) + 1 if p in PIECES else A.ESCAPE for p in found] + [A.END]
+    assert got.flat.tolist() == want and got.sizes.sum() == len(want)
+    assert {(PIECES[k] if k < len(PIECES) else bytes([k - len(PIECES)])): n for k, n in enumerate(used.tolist()) if n} == counts
+
+
+def test_word_hashes_tell_words_apart():
+    texts = [b"a b ab ba", b"b  a\tAB x" + b"y" * 100_000, b"", b"x" + b"y" * 100_000 + b" x" + b"y" * 99_999, b"w1 " * 40_000]
+    flat = [w for t in texts for w in t.lower().split()]
+    hashes = A.Words.of(texts).hashes().tolist()
+    assert len(hashes) == len(flat) and len(set(hashes)) == len(set(flat)) == len(set(zip(flat, hashes)))
+
+
+def test_everything_is_counted_and_every_text_is_learnt_from(spark, monkeypatch):
+    # more texts than a sample would take, and what stands late in a long one
+    rows = [(i, f"the and {i}") for i in range(1, 900)] + [(900, "the " * 3_000 + "qq " * 3_000)] + [(901, "an")] * 50 + [(902, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(A, "TRAINER_BYTES", 20_000)
-    total, average = [], A._average
-    monkeypatch.setattr(A, "_average", lambda group: total.append(average(group).column("seen")[0].as_py()) or average(group))
+    monkeypatch.setattr(A, "TRAINER_WINDOWS", 200)
+    monkeypatch.setattr(A, "MEANS", 2)
+    pairs = []
+    monkeypatch.setattr(A, "direct", lambda p, real=A.direct: pairs.append(p) or real(p))
     pieces, model = A.fit(docs, PIECES)
-    cutter = A.Cutter(pieces)
-    # the driver's averages only: workers have their own list
-    assert sum(total) == sum(len(cutter.text((t or "").encode().split())) for _, t in rows)
-    assert all(np.isfinite(v).all() for v in model.values())
-
-
-def test_pieces_cover_every_word():
-    cutter = A.Cutter(PIECES)
-    names = {v: k for k, v in cutter.ids.items()}
-    for word in (b"the", b"thing", b"xyz", "é".encode(), b""):
-        got = cutter.cut(word)
-        assert b"".join(names.get(bytes([i]), b"?") for i in got) == (b" " + word if word.isascii() else b" ??")
+    counts = Counter(p for _, t in rows for w in (t or "").encode().split() for p in longest(w, PIECES))
+    assert pieces == A.choose(counts) and b"q" in pieces and pieces.index(b"q") < pieces.index(b"d")
+    assert pairs[0].sum() == counts.total() + len(rows)
+    assert all(np.isfinite(v).all() for v in model.values()) and any((model[k] != v).any() for k, v in A.fresh().items())
+    words = A.Words.of([(t or "").encode() for _, t in rows])
+    ids = A.Ids.of(words, A.Trie(pieces))
+    windows = A.Windows(ids)
+    taken = np.bincount(windows.text, (windows.number + ids.sizes[windows.text]) % A.EVERY == 0)
+    assert (np.abs(taken - np.bincount(windows.text) / A.EVERY) < 1).all()

@@ -139,7 +139,7 @@ def test_index_is_run_length_compressed():
     for copies in (1, 50):
         texts = [passage[:k] + b"#" + passage[k:] for k in rng.sample(range(2000), copies)]
         index = R.RunIndex(texts, np.arange(len(texts)))
-        sizes.append((len(index.start), len(index.range)))
+        sizes.append((len(index.table), len(index.earliest)))
     assert sizes[1][0] < 4 * sizes[0][0] and sizes[1][1] < 20 * sizes[0][1] + 4000
 
 
