@@ -7,21 +7,22 @@ and then the id, each by a softmax over a row for the token itself plus what the
 overlap by 8 and score their last 24, so that each token is scored once; many windows go through masked batched
 attention at a time.
 
-Training is data-parallel: all training documents are dealt to rounds and in these to trainers, whose models are
-averaged after each round. Word counts for the unigram base cover all training documents. They never
-meet in one place: packs of texts send sorted word hashes and counts, by ranges of the hash, and get the sums back.
+The rows for the token itself are the logarithms of how often pairs of ids follow each other in all training documents.
+The attention is trained by gradient steps over windows of all training documents, data-parallel: windows are dealt to
+rounds and in these to trainers, as many as there is text for, whose models are averaged in a tree after each round. Word
+counts for the unigram base cover all training documents. They never meet in one place: packs of texts send sorted word
+hashes and counts, by ranges of the hash, and get the sums back.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,22 +30,24 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, crc_rest, release, table
 from .packs import PACKED as _PACKED
-from .packs import expand, squeeze
+from .packs import freeze, thaw
 from .packs import rows as _rows
-from .packs import unpack as _unpack
 from .packs import values as _values
 
 #: Ids: the end of a text (and what stands before its first token), pieces, and the escape; classes of SIDE ids each.
 SIDE = 16
 IDS, END, ESCAPE = SIDE * SIDE, 0, SIDE * SIDE - 1
+#: Bytes of the longest piece that is considered; longer words are cut after so many bytes first.
+PIECE_BYTES, LANE = 5, 64
 #: Inputs of a window that only give context, inputs that are scored, and the width of the attention.
 CONTEXT, SCORED, WIDTH = 8, 24, 16
 SPAN = CONTEXT + SCORED
-#: Windows that go through the attention at a time.
-BATCH = 80
-#: Rounds, text that a trainer is given in one, most trainers, parts in which their models are averaged, and the rate.
-ROUNDS, TRAINER_BYTES, MAX_TRAINERS, MEANS, LEARN = 2, 2_000_000, 256, 8, 0.01
-PACK_BYTES, RANGE_WORDS, CACHE = 4 << 20, 1_000_000, 150_000
+#: Windows that go through the attention at a time, when scoring and when training.
+BATCH, LESSON = 80, 160
+#: Of each training document every so many-th window is for gradient steps, in rounds, by trainers of so many windows each; so many models are averaged at a time; the rate.
+EVERY, ROUNDS, TRAINER_WINDOWS, MEANS, LEARN = 2, 2, 40_000, 64, 0.01
+#: Text of a pack, of what is cut at a time, and in steps of the search for pieces; hashes in one range.
+PACK_BYTES, TEXT_BYTES, CHUNK, RANGE_WORDS = 4 << 20, 1 << 20, 1 << 16, 1_000_000
 #: The remainder of crc32(doc_id) modulo FOLDS that is held out, by contract.
 FOLDS, HELD_OUT = 10, 0
 
@@ -59,52 +62,174 @@ def vocabulary(path: str | None = None) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines]
 
 
-class Cutter:
-    """Words to ids: the longest piece first, from left to right; a word begins with a space."""
-
-    def __init__(self, pieces: list[bytes]):
-        self.ids = {p: bytes([k + 1]) for k, p in enumerate(pieces[: ESCAPE - 1])}
-        self.longest = max(map(len, self.ids), default=1)
-        self.seen: dict[bytes, bytes] = {}
-
-    def cut(self, word: bytes) -> bytes:
-        word, at, out, ids = b" " + word, 0, [], self.ids
-        while at < len(word):
-            for size in range(min(self.longest, len(word) - at), 0, -1):
-                if (found := ids.get(word[at : at + size])) is not None:
-                    out.append(found)
-                    break
-            else:
-                out.append(bytes([ESCAPE]))
-                size = 1
-            at += size
-        return b"".join(out)
-
-    def text(self, words: list[bytes]) -> bytes:
-        """Ids of a text, with its end."""
-        seen = self.seen
-        for w in set(words).difference(seen):
-            seen[w] = self.cut(w)
-        out = b"".join(map(seen.__getitem__, words)) + bytes([END])
-        if len(seen) > CACHE:
-            seen.clear()
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: Fixed numbers of the words' hash: one for each byte, and a factor with its inverse.
+_BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Words(NamedTuple):
+    """Texts as one stream of lower-case words with a space before each; where they begin, with the end; and their texts."""
+
+    stream: np.ndarray
+    begin: np.ndarray
+    text: np.ndarray
+    texts: int
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        data = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_PLAIN), np.uint8)
+        space = data == 32
+        heads = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        keep = ~space
+        keep[heads - 1] = True
+        stream = data[keep]
+        starts = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        return cls(stream, np.append(np.flatnonzero(stream == 32), len(stream)), np.searchsorted(starts, heads, "right") - 1, len(texts))
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.text, minlength=self.texts)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words: sums of bytes times powers, from running sums over the stream."""
+        out, at, size = np.empty(len(self.text), np.uint64), 0, 1 << 16
+        forward = np.cumprod(np.full(size, _STEP, np.uint64))
+        back = np.cumprod(np.full(size, pow(_STEP, -1, 1 << 64), np.uint64))
+        while at < len(out):
+            end = max(at + 1, int(np.searchsorted(self.begin, self.begin[at] + size, "right")) - 1)
+            first, last = self.begin[at:end] - self.begin[at], self.begin[at + 1 : end + 1] - self.begin[at]
+            if last[-1] > len(forward):  # a word longer than that
+                forward = np.cumprod(np.full(int(last[-1]), _STEP, np.uint64))
+                back = np.cumprod(np.full(int(last[-1]), pow(_STEP, -1, 1 << 64), np.uint64))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[self.stream[self.begin[at] : self.begin[end]]] * forward[: last[-1]])])
+            found = (sums[last] - sums[first]) * back[first]
+            found = (found ^ (found >> np.uint64(31))) * _MIX
+            out[at:end] = found ^ (found >> np.uint64(29))
+            at = end
         return out
 
 
-def uses(words: dict[bytes, int], known: set[bytes], used: dict[bytes, int]) -> None:
-    """Adds to used how often each known piece, or single byte, occurs in words, which are cut into the longest."""
-    longest = max(map(len, known), default=1)
-    for w, n in words.items():
-        w, at = b" " + w, 0
-        while at < len(w):
-            size = next((s for s in range(min(longest, len(w) - at), 1, -1) if w[at : at + s] in known), 1)
-            used[w[at : at + size]] = used.get(w[at : at + size], 0) + n
-            at += size
+class Trie:
+    """Byte strings, of which it finds the longest from each place on."""
+
+    def __init__(self, strings: list[bytes]):
+        steps: list[dict[int, int]] = [{}]
+        final = [0]
+        for k, s in enumerate(strings):
+            node = 0
+            for b in s:
+                if b not in steps[node]:
+                    steps[node][b] = len(steps)
+                    steps.append({})
+                    final.append(0)
+                node = steps[node][b]
+            final[node] = k + 1
+        self.final = np.array(final, np.int32)
+        self.step = np.zeros(256 * len(steps), np.int32)
+        for node, own in enumerate(steps):
+            for b, to in own.items():
+                self.step[256 * node + b] = to
+        # nodes that end no search, and what two bytes come to: the longest string, its length and the node, if it goes on
+        self.open = np.array([len(own) > 0 for own in steps])
+        one = self.step[:256]
+        two = np.where(one[:, None] > 0, self.step[256 * one[:, None] + np.arange(256)], 0).ravel()
+        self.found = np.where(self.final[two] > 0, self.final[two], np.repeat(self.final[one], 256))
+        self.size = np.where(self.final[two] > 0, 2, 1).astype(np.uint8)
+        self.node = np.where(self.open[two], two, 0)
+
+    def longest(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the number of the longest string there, from 1 on, and its length; 0 and 1 if there is none."""
+        found, size = np.zeros(len(stream), np.int32), np.ones(len(stream), np.uint8)
+        if len(stream):
+            found[-1] = self.final[self.step[stream[-1]]]
+        for a in range(0, len(stream) - 1, CHUNK):
+            part = stream[a : a + CHUNK + PIECE_BYTES]
+            code = (part[:CHUNK].astype(np.uint16) << np.uint16(8))[: len(part) - 1] | part[1 : CHUNK + 1]
+            found[a : a + len(code)], size[a : a + len(code)] = self.found[code], self.size[code]
+            node, depth = self.node[code], 2
+            live = np.flatnonzero(node)
+            node = node[live]
+            while len(live):
+                inside = np.searchsorted(live, len(part) - depth)
+                live = live[:inside]
+                node = self.step[(node[:inside] << 8) + part[live + depth]]
+                on = np.flatnonzero(node)
+                live, node, depth = live[on], node[on], depth + 1
+                full = np.flatnonzero(number := self.final[node])
+                found[a + live[full]], size[a + live[full]] = number[full], depth
+                on = np.flatnonzero(self.open[node])
+                live, node = live[on], node[on]
+        return found, size
+
+    def cut(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of the words begin, the longest first from left to right, and their numbers, 0 for a lone byte.
+
+        All words are gone through abreast, each within itself; parts of LANE bytes of a long word count as words.
+        """
+        stream, (found, size) = words.stream, self.longest(words.stream)
+        at, stop = words.begin[:-1], words.begin[1:]
+        parts = -(-(stop - at) // LANE)
+        if len(parts) and parts.max() > 1:
+            place = LANE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+            stop = np.minimum(np.repeat(at, parts) + place + LANE, np.repeat(stop, parts))
+            at = np.repeat(at, parts) + place
+        token = np.zeros(len(stream), bool)
+        while len(at):
+            over = at[at + size[at] > stop]
+            if len(over):
+                found[over], size[over] = self.final[self.step[stream[over]]], 1
+            token[at] = True
+            at = at + size[at]
+            on = np.flatnonzero(at < stop)
+            at, stop = at[on], stop[on]
+        begins = np.flatnonzero(token)
+        return begins, found[begins]
+
+
+class Ids(NamedTuple):
+    """Texts as ids, one after the other, each with its end; and their sizes."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words, trie: Trie) -> Ids:
+        begins, number = trie.cut(words)
+        word = np.cumsum(words.stream[begins] == 32) - 1
+        sizes = np.bincount(words.text[word], minlength=words.texts)
+        flat = np.full(len(begins) + words.texts, END, np.uint8)
+        flat[np.arange(len(begins)) + np.repeat(np.arange(words.texts), sizes)] = np.where(number > 0, number, ESCAPE)
+        return cls(flat, sizes + 1)
+
+
+def batched(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Lists of texts of some TEXT_BYTES together, or of one text."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > TEXT_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t) + 1
+    if held:
+        yield held
+
+
+def candidates(pieces: list[bytes]) -> list[bytes]:
+    """Those that may be the model's: short, and without white space but in front."""
+    return [p for p in dict.fromkeys(pieces) if 0 < len(p) <= PIECE_BYTES and not any(b in b" \t\n\x0b\x0c\r" for b in p[1:])]
+
+
+def uses(words: Words, trie: Trie, used: np.ndarray) -> None:
+    """Adds to used how often each string of the trie, and behind them each lone byte, is a piece of the words."""
+    begins, number = trie.cut(words)
+    lone = number == 0
+    used += np.bincount(np.where(lone, words.stream[begins].astype(np.int64) + len(used) - 256, number - 1), minlength=len(used))
 
 
 def choose(used: dict[bytes, int]) -> list[bytes]:
-    """The ESCAPE - 1 pieces of most use; single bytes come before longer pieces of equal use."""
-    # the bytes of the alphabet are kept first, so that escapes are rare
+    """The ESCAPE - 1 pieces of most use; the bytes of the alphabet are kept first, so that escapes are rare."""
     single: dict[bytes, int] = {}
     for p, n in used.items():
         for b in p:
@@ -115,27 +240,32 @@ def choose(used: dict[bytes, int]) -> list[bytes]:
 
 
 def fresh(seed: int = 0) -> dict[str, np.ndarray]:
-    """Parameters before training: near uniform."""
+    """The attention's parameters before training: near uniform."""
     rng = np.random.default_rng(seed)
     part = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    zero = lambda *shape: np.zeros(shape, np.float32)
     return {
         "query": part(IDS, WIDTH), "key": part(IDS, WIDTH), "value": part(IDS, WIDTH), "distance": np.linspace(0, -1, SPAN).astype(np.float32),
-        "class_direct": zero(IDS, SIDE), "class_out": part(WIDTH, SIDE), "id_direct": zero(IDS, SIDE, SIDE), "id_out": part(SIDE, WIDTH, SIDE),
+        "class_out": part(WIDTH, SIDE), "id_out": part(SIDE, WIDTH, SIDE),
     }
 
 
+def direct(pairs: np.ndarray) -> dict[str, np.ndarray]:
+    """The rows for the token itself, from how often each id follows each (IDS, IDS): logarithms of shares, a little evened out."""
+    by_id = pairs.reshape(IDS, SIDE, SIDE).astype(np.float64) + 0.1
+    by_class = pairs.reshape(IDS, SIDE, SIDE).sum(axis=2) + 0.1
+    return {"class_direct": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32), "id_direct": np.log(by_id / by_id.sum(axis=2, keepdims=True)).astype(np.float32)}
+
+
 class Windows:
-    """Texts of ids laid out in windows; only the scored part of a window has targets."""
+    """Ids laid out in windows; only the scored part of a window has targets."""
 
-    def __init__(self, texts: list[bytes]):
-        sizes = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, ids: Ids):
+        flat, sizes = ids
         count = -(-sizes // SCORED)
         room = CONTEXT + count * SCORED
         begin = np.cumsum(room) - room
         self.inputs = np.zeros(int(room.sum()), np.uint8)
         self.targets = np.zeros(len(self.inputs), np.uint8)
-        flat = np.frombuffer(b"".join(texts), np.uint8)
         first = np.cumsum(sizes) - sizes
         to = np.arange(len(flat)) + np.repeat(begin + CONTEXT - first, sizes)
         self.targets[to] = flat
@@ -144,10 +274,36 @@ class Windows:
         self.inputs[to[inner]] = flat[:-1][inner[1:]] if len(flat) else flat
         self.real = np.zeros(len(self.inputs), bool)
         self.real[to] = True
-        self.text = np.repeat(np.arange(len(texts)), count)
-        number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        self.begin = np.repeat(begin, count) + number * SCORED
-        self.first = number == 0
+        self.text = np.repeat(np.arange(len(sizes)), count)
+        self.number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        self.begin = np.repeat(begin, count) + self.number * SCORED
+
+    def taken(self, at: np.ndarray) -> Taken:
+        whole = self.begin[at, None] + np.arange(SPAN)
+        return Taken(self.inputs[whole], self.targets[whole[:, CONTEXT:]], self.real[whole[:, CONTEXT:]], self.number[at] == 0)
+
+
+class Taken(NamedTuple):
+    """Some windows: inputs (n, SPAN), targets and whether they are real (n, SCORED), and whether they are a text's first."""
+
+    inputs: np.ndarray
+    targets: np.ndarray
+    real: np.ndarray
+    first: np.ndarray
+
+    def packed(self) -> bytes:
+        """Compressed inputs, last targets, numbers of real targets, which come first, and flags: all else follows from them."""
+        parts = [self.inputs, self.targets[:, -1:], self.real.sum(axis=1, dtype=np.uint8)[:, None], self.first.astype(np.uint8)[:, None]]
+        return zstandard.compress(np.concatenate(parts, axis=1).tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Taken:
+        rows = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, SPAN + 3)
+        real = np.arange(SCORED) < rows[:, SPAN + 1 : SPAN + 2]
+        return cls(rows[:, :SPAN], np.where(real, rows[:, CONTEXT + 1 : SPAN + 1], 0), real, rows[:, -1] > 0)
+
+    def rows(self, at: np.ndarray) -> Taken:
+        return Taken(*(x[at] for x in self))
 
 
 _AHEAD = np.where(np.arange(SCORED)[:, None] + CONTEXT - np.arange(SPAN)[None] < 0, np.float32(-1e9), np.float32(0))
@@ -157,62 +313,61 @@ _APART = np.maximum(np.arange(SCORED)[:, None] + CONTEXT - np.arange(SPAN)[None]
 class Attention:
     """Masked attention over batches of windows, in buffers that are made once."""
 
-    def __init__(self, model: dict[str, np.ndarray]):
+    def __init__(self, model: dict[str, np.ndarray], most: int = BATCH):
         self.model, kind = model, model["query"].dtype
-        self.bias = model["distance"][_APART] + _AHEAD.astype(kind)
-        self.keys, self.values = np.empty((BATCH, SPAN, WIDTH), kind), np.empty((BATCH, SPAN, WIDTH), kind)
-        self.queries, self.context = np.empty((BATCH, SCORED, WIDTH), kind), np.empty((BATCH, SCORED, WIDTH), kind)
-        self.weights, self.sums = np.empty((BATCH, SCORED, SPAN), kind), np.empty((BATCH, SCORED, 1), kind)
-
-    def gather(self, windows: Windows, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (n, SPAN) of the windows and what their scored inputs gather (n, SCORED, WIDTH)."""
-        n, m = len(at), self.model
-        ids = windows.inputs[windows.begin[at, None] + np.arange(SPAN)]
-        np.take(m["query"], ids[:, CONTEXT:], axis=0, out=self.queries[:n], mode="clip")
-        np.take(m["key"], ids, axis=0, out=self.keys[:n], mode="clip")
-        np.take(m["value"], ids, axis=0, out=self.values[:n], mode="clip")
+        self.keys, self.values = np.empty((most, SPAN, WIDTH), kind), np.empty((most, SPAN, WIDTH), kind)
+        self.queries, self.context = np.empty((most, SCORED, WIDTH), kind), np.empty((most, SCORED, WIDTH), kind)
+        self.weights, self.sums = np.empty((most, SCORED, SPAN), kind), np.empty((most, SCORED, 1), kind)
+
+    def gather(self, inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What the scored inputs (n, SPAN) of windows gather (n, SCORED, WIDTH)."""
+        n, m = len(inputs), self.model
+        np.take(m["query"], inputs[:, CONTEXT:], axis=0, out=self.queries[:n], mode="clip")
+        np.take(m["key"], inputs, axis=0, out=self.keys[:n], mode="clip")
+        np.take(m["value"], inputs, axis=0, out=self.values[:n], mode="clip")
         w = np.matmul(self.queries[:n], self.keys[:n].transpose(0, 2, 1), out=self.weights[:n])
-        w += self.bias
-        head = np.flatnonzero(windows.first[at])
+        w += m["distance"][_APART] + _AHEAD.astype(w.dtype)
+        head = np.flatnonzero(first)
         if len(head):
             w[head, :, :CONTEXT] = -1e9
         np.exp(w, out=w)
         np.sum(w, axis=2, keepdims=True, out=self.sums[:n])
         context = np.matmul(w, self.values[:n], out=self.context[:n])
         context /= self.sums[:n]
-        return ids, context
+        return context
 
 
-def log10_scores(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text of ids; each token counts once."""
+def log10_scores(model: dict[str, np.ndarray], texts: Ids) -> np.ndarray:
+    """log10 probability of each text; each token counts once. model: fresh() and direct()."""
     windows, attention = Windows(texts), Attention(model)
-    out, rows, ones = np.zeros(len(texts)), BATCH * SCORED, np.ones(SIDE, np.float32)
-    by_class, by_id, direct, context = (np.empty((rows, k), np.float32) for k in (SIDE, SIDE, SIDE, WIDTH))
+    out, rows, ones = np.zeros(len(texts.sizes)), BATCH * SCORED, np.ones(SIDE, np.float32)
+    by_class, by_id, own, context = (np.empty((rows, k), np.float32) for k in (SIDE, SIDE, SIDE, WIDTH))
     pairs = model["id_direct"].reshape(IDS * SIDE, SIDE)
     for a in range(0, len(windows.begin), BATCH):
         at = np.arange(a, min(a + BATCH, len(windows.begin)))
         n = len(at) * SCORED
-        ids, gathered = attention.gather(windows, at)
+        inputs = windows.inputs[windows.begin[at, None] + np.arange(SPAN)]
+        gathered = attention.gather(inputs, windows.number[at] == 0)
         place = (windows.begin[at, None] + np.arange(CONTEXT, SPAN)).ravel()
         target = windows.targets[place]
         # rows in order of the target's class, so that each class is one product
         order = np.argsort(target >> 4, kind="stable")
-        target, now, place = target[order], ids[:, CONTEXT:].ravel()[order], place[order]
+        target, now, place = target[order], inputs[:, CONTEXT:].ravel()[order], place[order]
         kind = target >> 4
         np.take(gathered.reshape(n, WIDTH), order, axis=0, out=context[:n], mode="clip")
         np.dot(context[:n], model["class_out"], out=by_class[:n])
-        by_class[:n] += np.take(model["class_direct"], now, axis=0, out=direct[:n], mode="clip")
+        by_class[:n] += np.take(model["class_direct"], now, axis=0, out=own[:n], mode="clip")
         cuts = np.searchsorted(kind, np.arange(SIDE + 1)).tolist()
         for k in range(SIDE):
             if cuts[k + 1] > cuts[k]:
                 np.dot(context[cuts[k] : cuts[k + 1]], model["id_out"][k], out=by_id[cuts[k] : cuts[k + 1]])
-        by_id[:n] += np.take(pairs, now.astype(np.int32) * SIDE + kind, axis=0, out=direct[:n], mode="clip")
+        by_id[:n] += np.take(pairs, now.astype(np.int32) * SIDE + kind, axis=0, out=own[:n], mode="clip")
         every = np.arange(n)
         found = (by_class[every, kind] + by_id[every, target & 15]).astype(np.float64)
         found -= np.log((np.exp(by_class[:n], out=by_class[:n]) @ ones).astype(np.float64) * (np.exp(by_id[:n], out=by_id[:n]) @ ones))
         found[~windows.real[place]] = 0
-        out += np.bincount(windows.text[at[order // SCORED]], found, len(texts))
-    escapes = np.array([t.count(ESCAPE) for t in texts])
+        out += np.bincount(windows.text[at[order // SCORED]], found, len(out))
+    escapes = np.add.reduceat(texts.flat == ESCAPE, np.cumsum(texts.sizes) - texts.sizes, dtype=np.int64) if len(out) else 0
     return out / np.log(10) - escapes * np.log10(256)
 
 
@@ -226,71 +381,72 @@ def _sums(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def gradients(model: dict[str, np.ndarray], windows: Windows, at: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
-    """Gradients of the mean cross-entropy over a batch of windows, the sum of losses and the number of tokens."""
-    n, attention = len(at) * SCORED, Attention(model)
-    ids, gathered = attention.gather(windows, at)
-    m = len(at)
+def gradients(attention: Attention, windows: Taken) -> tuple[dict[str, np.ndarray], float, int]:
+    """Gradients of the mean cross-entropy over windows for the attention's parameters, the sum of losses and the tokens."""
+    model, m = attention.model, len(windows.inputs)
+    n = m * SCORED
+    gathered = attention.gather(windows.inputs, windows.first)
     query, key, value = attention.queries[:m], attention.keys[:m], attention.values[:m]
-    weight, context = attention.weights[:m] / attention.sums[:m], gathered.reshape(n, WIDTH)
-    place = (windows.begin[at, None] + np.arange(CONTEXT, SPAN)).ravel()
-    real, target, now = windows.real[place], windows.targets[place].astype(np.int64), ids[:, CONTEXT:].ravel()
-    kind, tokens = target >> 4, max(1, int(real.sum()))
-    share = (real / tokens).astype(weight.dtype)[:, None]
-    loss, back, grads = 0.0, np.zeros((n, WIDTH), weight.dtype), {}
-    every = np.arange(n)
-
-    def error(logits: np.ndarray, wanted: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        nonlocal loss
-        logits = np.exp(logits - logits.max(axis=1, keepdims=True))
+    weight = np.divide(attention.weights[:m], attention.sums[:m], out=attention.weights[:m])
+    real = windows.real.ravel()
+    order = np.argsort(windows.targets.ravel() >> 4, kind="stable")
+    target, now, real, context = windows.targets.ravel()[order], windows.inputs[:, CONTEXT:].ravel()[order], real[order], gathered.reshape(n, WIDTH)[order]
+    kind, last, tokens = (target >> 4).astype(np.int64), (target & 15).astype(np.int64), max(1, int(real.sum()))
+    share, every = (real / tokens).astype(weight.dtype)[:, None], np.arange(n)
+    cuts = np.searchsorted(kind, np.arange(SIDE + 1)).tolist()
+    by_id = np.empty((n, SIDE), weight.dtype)
+    spans = [(k, slice(cuts[k], cuts[k + 1])) for k in range(SIDE) if cuts[k + 1] > cuts[k]]
+    for k, rows in spans:
+        np.dot(context[rows], model["id_out"][k], out=by_id[rows])
+    by_class = context @ model["class_out"] + model["class_direct"][now]
+    by_id += model["id_direct"].reshape(IDS * SIDE, SIDE)[now.astype(np.int64) * SIDE + kind]
+    loss = 0.0
+    for logits, wanted in ((by_class, kind), (by_id, last)):
+        np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
-        own = logits[np.arange(len(wanted)), wanted]
-        loss -= float(np.log(np.maximum(own, 1e-30))[real[rows]].sum())
-        logits[np.arange(len(wanted)), wanted] -= 1
-        return logits * share[rows]
-
-    wrong = error(model["class_direct"][now] + context @ model["class_out"], kind, every)
-    grads["class_direct"], grads["class_out"] = _sums(now, wrong, IDS), context.T @ wrong
-    back += wrong @ model["class_out"].T
-    grads["id_out"], within = np.zeros_like(model["id_out"]), np.zeros((n, SIDE), weight.dtype)
-    for k in range(SIDE):
-        rows = np.flatnonzero(kind == k)
-        if len(rows):
-            wrong = error(model["id_direct"][now[rows], k] + context[rows] @ model["id_out"][k], target[rows] & 15, rows)
-            within[rows] = wrong
-            grads["id_out"][k] = context[rows].T @ wrong
-            back[rows] += wrong @ model["id_out"][k].T
-    grads["id_direct"] = _sums(now.astype(np.uint16) * SIDE + kind.astype(np.uint16), within, IDS * SIDE).reshape(IDS, SIDE, SIDE)
-    back = back.reshape(gathered.shape)
-    d_weight = back @ value.transpose(0, 2, 1)
-    d_score = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
-    d_value, d_query, d_key = weight.transpose(0, 2, 1) @ back, d_score @ key, d_score.transpose(0, 2, 1) @ query
-    grads["query"] = _sums(now, d_query.reshape(n, WIDTH), IDS)
-    grads["key"], grads["value"] = _sums(ids.ravel(), d_key.reshape(-1, WIDTH), IDS), _sums(ids.ravel(), d_value.reshape(-1, WIDTH), IDS)
+        loss -= float(np.log(np.maximum(logits[every, wanted], 1e-30))[real].sum())
+        logits[every, wanted] -= 1
+        logits *= share
+    grads = {"class_out": context.T @ by_class, "id_out": np.zeros_like(model["id_out"])}
+    sorted_back = by_class @ model["class_out"].T
+    for k, rows in spans:
+        grads["id_out"][k] = context[rows].T @ by_id[rows]
+        sorted_back[rows] += by_id[rows] @ model["id_out"][k].T
+    back = np.empty_like(sorted_back)
+    back[order] = sorted_back
+    back = back.reshape(m, SCORED, WIDTH)
+    d_score = back @ value.transpose(0, 2, 1)
+    d_score -= np.einsum("ijk,ijk->ij", d_score, weight)[:, :, None]
+    d_score *= weight
+    d_query = d_score @ key
+    d_both = np.concatenate([d_score.transpose(0, 2, 1) @ query, weight.transpose(0, 2, 1) @ back], axis=2)
+    grads["query"] = _sums(windows.inputs[:, CONTEXT:].ravel(), d_query.reshape(n, WIDTH), IDS)
+    both = _sums(windows.inputs.ravel(), d_both.reshape(-1, 2 * WIDTH), IDS)
+    grads["key"], grads["value"] = both[:, :WIDTH], both[:, WIDTH:]
     grads["distance"] = np.bincount(_APART.ravel(), d_score.sum(axis=0).ravel() * (_AHEAD.ravel() == 0), SPAN).astype(weight.dtype)
     return grads, loss, tokens
 
 
-def train(model: dict[str, np.ndarray], texts: Iterator[list[bytes]], learn: float = LEARN) -> tuple[dict[str, np.ndarray], int]:
-    """One pass of Adam over batches of texts of ids; returns the new parameters and the tokens seen."""
-    model = {k: v.copy() for k, v in model.items()}
-    mean, square, step, seen = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0, 0
-    for batch in texts:
-        windows = Windows(batch)
-        order = np.random.default_rng(step).permutation(len(windows.begin))
-        for a in range(0, len(order), BATCH):
-            grads, _, tokens = gradients(model, windows, order[a : a + BATCH])
+def train(model: dict[str, np.ndarray], lessons: Iterator[Taken], learn: float = LEARN) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over batches of windows; returns the attention's new parameters and the tokens seen."""
+    own = {k: model[k].copy() for k in fresh()}
+    attention = Attention({**model, **own}, LESSON)
+    mean, square, step, seen = {k: np.zeros_like(v) for k, v in own.items()}, {k: np.zeros_like(v) for k, v in own.items()}, 0, 0
+    for windows in lessons:
+        order = np.random.default_rng(step).permutation(len(windows.inputs))
+        for a in range(0, len(order), LESSON):
+            grads, _, tokens = gradients(attention, windows.rows(order[a : a + LESSON]))
             step, seen = step + 1, seen + tokens
             rate = learn * min(1.0, step / 20) / (1 + step / 500)
             for k, g in grads.items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
-                model[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-    return model, seen
+                own[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+    return own, seen
 
 
 def _flat(model: dict[str, np.ndarray]) -> bytes:
-    return b"".join(model[k].astype("<f4").tobytes() for k in sorted(model))
+    return b"".join(model[k].astype("<f4").tobytes() for k in sorted(fresh()))
 
 
 def _full(data: bytes) -> dict[str, np.ndarray]:
@@ -301,89 +457,111 @@ def _full(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """The model's pieces and parameters, from docs (doc_id, text). Null texts are empty; without rows it stays untrained."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(pieces if pieces is not None else vocabulary())
+def useful_pieces(texts: DataFrame, pieces: list[bytes]) -> list[bytes]:
+    """The model's pieces, counted over all texts (one column, not null)."""
+    strings = candidates(pieces)
+    known = texts.sparkSession.sparkContext.broadcast(strings)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, used, all_known = Counter(), {}, set(known.value)
-        for (text,) in _values(batches):
-            found.update(text.encode("utf-8", "replace").lower().split())
-            if len(found) > CACHE:
-                uses(found, all_known, used)
-                found.clear()
-        uses(found, all_known, used)
-        yield pa.RecordBatch.from_arrays([pa.array(list(used), pa.binary()), pa.array(list(used.values()), pa.int64())], ["piece", "n"])
-
-    # no more rows than the public vocabulary has pieces, and single bytes
-    used = rows.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    chosen = choose({bytes(r["piece"]): r["n"] for r in used.collect()})
-    whole = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    trainers = int(min(MAX_TRAINERS, max(1, whole // (ROUNDS * TRAINER_BYTES))))
-    model, context = fresh(), docs.sparkSession.sparkContext
+        trie, used = Trie(known.value), np.zeros(len(known.value) + 256, np.int64)
+        for part in batched(t.encode("utf-8", "replace") for (t,) in _values(batches)):
+            uses(Words.of(part), trie, used)
+        some = np.flatnonzero(used)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(used[some])], ["piece", "n"])
+
+    # no more rows than the public vocabulary has short pieces, and single bytes
+    used: dict[bytes, int] = {}
+    for r in texts.mapInArrow(count, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        piece = strings[r["piece"]] if r["piece"] < len(strings) else bytes([r["piece"] - len(strings)])
+        used[piece] = used.get(piece, 0) + r["n"]
+    return choose(used)
+
+
+def trained(packed: DataFrame) -> dict[str, np.ndarray]:
+    """A model from the pairs (kind 5) and lessons (kind 4) of packs. Without any it stays untrained."""
+    context = packed.sparkSession.sparkContext
+    pairs = np.zeros(IDS * IDS, np.int64)
+    # no more rows than pairs of ids
+    for r in packed.where("kind = 5").groupBy("pack").agg(F.sum("bin").alias("n")).collect():
+        pairs[r["pack"]] = r["n"]
+    model = fresh() | direct(pairs.reshape(IDS, IDS))
+    lessons = packed.where("kind = 4").select("bin", "payload")
+    many = lessons.agg(F.sum("bin")).first()[0] or 0
+    trainers = max(1, many // (ROUNDS * TRAINER_WINDOWS))
     for k in range(ROUNDS):
-        shared = context.broadcast((chosen, _flat(model)))
+        start = context.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            cutter, start = Cutter(shared.value[0]), _full(shared.value[1])
-            texts = ([cutter.text(t.encode("utf-8", "replace").lower().split()) for t in b.column(0).slice(a, 100).to_pylist()] for b in batches for a in range(0, b.num_rows, 100))
-            model, seen = train(start, texts)
+        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            own, seen = train(start.value, (Taken.unpacked(w) for (w,) in _values(batches, 1)))
             if seen:
-                number = TaskContext.get().partitionId() % MEANS
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(model)], pa.binary())], ["part", "seen", "model"])
-
-        part = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k).repartition(trainers, F.xxhash64("doc_id"), F.xxhash64("text")).select("text")
-        trained = part.mapInArrow(learn, "part long, seen long, model binary")
-        got = trained.groupBy("part").applyInArrow(_average, "seen long, model binary").toArrow()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(own)], pa.binary())], ["part", "seen", "model"])
+
+        part = lessons.where(F.pmod(F.xxhash64("payload"), F.lit(ROUNDS)) == k).repartition(trainers, F.xxhash64("payload", F.lit(1))).select("payload")
+        found, left = part.mapInArrow(learn, "part long, seen long, model binary"), trainers
+        while left > MEANS:
+            left = -(-left // MEANS)
+            found = found.groupBy((F.col("part") % left).alias("part")).applyInArrow(_average, "part long, seen long, model binary")
+        got = found.toArrow()
         if got.num_rows:
-            model = _full(_average(got).column("model")[0].as_py())
-        release(docs.sparkSession)
-    return chosen, model
+            model |= _full(_average(got).column("model")[0].as_py())
+    return model
+
+
+def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
+    """The model's pieces and parameters, from docs (doc_id, text). Null texts are empty; without rows it stays untrained.
+
+    Pieces and pairs are counted over all text. Gradient steps take of each text every EVERY-th window, the first one by
+    its number of tokens, at any size of the corpus.
+    """
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = useful_pieces(rows.select("text"), pieces if pieces is not None else vocabulary())
+    return chosen, trained(checkpoint(rows.mapInArrow(_packer(chosen, 1), _PACKED)))
 
 
 def _average(group: pa.Table) -> pa.Table:
     """Models and the tokens they have seen to their weighted mean and all tokens."""
     seen = group.column("seen").to_pylist()
     mean = sum(np.frombuffer(m.as_py(), "<f4") * (n / sum(seen)) for m, n in zip(group.column("model"), seen, strict=True))
-    return pa.table({"seen": pa.array([sum(seen)], pa.int64()), "model": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
-
-
-def _texts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All words, words by text, and the distinct words' hashes in order with each word's place among them."""
-    flat, sizes = [], []
-    for t in texts:
-        found = t.lower().split()
-        sizes.append(len(found))
-        flat += found
-    number = dict(zip(dict.fromkeys(flat), range(len(flat)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    hashes, place = np.unique(hashes, return_inverse=True)
-    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    return flat, np.array(sizes, np.int64), hashes, place[at] if len(flat) else at
-
-
-def _packer(ranges: int):
-    """Texts to packs (kind 0) and, by range of hashes, the pack's words with their counts in training (kind 1)."""
-
-    def emit(pack: int, ids: list[int], held: list[bool], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        head = len(ids).to_bytes(8, "little") + np.array([2 * k + h for k, h in enumerate(held)], "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
-        yield _rows([(0, pack, 0, len(ids).to_bytes(8, "little") + pa.array(ids, pa.int64()).fill_null(0).to_numpy().tobytes() + bytes(i is None for i in ids) + zstandard.compress(head + b"".join(texts), 3))])
-        _, sizes, hashes, place = _texts(texts)
-        training = np.repeat(~np.array(held, bool), sizes)
-        counts = np.bincount(place[training], minlength=len(hashes)).astype("<i8") if len(hashes) else np.empty(0, "<i8")
+    return pa.table({"part": group.column("part").slice(0, 1), "seen": pa.array([sum(seen)], pa.int64()), "model": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+
+
+def _packer(chosen: list[bytes], ranges: int):
+    """(doc_id, held_out, text) to packs of ids (kind 0); by range of hashes, a pack's words with their counts in training
+    (kind 1); windows to learn from (kind 4), with their number; and pairs of ids with their counts in training (kind 5)."""
+
+    def emit(pack: int, ids: list[int], held: list[bool], texts: list[bytes], trie: Trie, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        train = ~np.array(held, bool)
+        sizes, hashes, flat, lengths, at = [], [], [], [], 0
+        for part in batched(iter(texts)):
+            words = Words.of(part)
+            own, learn = Ids.of(words, trie), train[at : at + len(part)]
+            at += len(part)
+            sizes.append(words.counts)
+            hashes.append(words.hashes())
+            flat.append(own.flat)
+            lengths.append(own.sizes)
+            before = np.concatenate([[END], own.flat[:-1]]).astype(np.int64)
+            pairs += np.bincount((before * IDS + own.flat)[np.repeat(learn, own.sizes)], minlength=IDS * IDS)
+            windows = Windows(own)
+            lesson = windows.taken(np.flatnonzero(learn[windows.text] & ((windows.number + own.sizes[windows.text]) % EVERY == 0)))
+            rows = [lesson.rows(np.arange(a, min(a + 4000, len(lesson.first)))) for a in range(0, len(lesson.first), 4000)]
+            if rows:
+                yield _rows([(4, pack, len(r.first), r.packed()) for r in rows])
+        sizes = np.concatenate(sizes)
+        hashes, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        missing = np.array([i is None for i in ids], np.int64)
+        body = np.concatenate(flat).tobytes()
+        yield _rows([(0, pack, 0, freeze([pa.array(ids, pa.int64()).fill_null(0).to_numpy(), missing, train.astype(np.int64), sizes, np.concatenate(lengths), place], body))])
+        counts = np.bincount(place[np.repeat(train, sizes)], minlength=len(hashes))
         share = (hashes.astype(np.float64) * (ranges / 2.0**64)).astype(np.int64).clip(0, ranges - 1)
-        cuts = np.searchsorted(share, np.arange(ranges + 1)) if ranges < 4096 else np.concatenate([[0], np.flatnonzero(np.diff(share)) + 1, [len(share)]])
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b > a:
-                one = squeeze(hashes[a:b])
-                rows.append((1, pack, int(share[a]), len(one).to_bytes(8, "little") + one + zstandard.compress(counts[a:b].tobytes(), 1)))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(share)) + 1, [len(share)]]).tolist()
+        rows = [(1, pack, int(share[a]), freeze([np.diff(hashes[a:b], prepend=np.uint64(0)), counts[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
         if rows:
             yield _rows(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
+        trie, pairs = Trie(chosen), np.zeros(IDS * IDS, np.int64)
         ids, held, texts = [], [], []
         for doc, out, text in _values(batches):
             ids.append(doc)
@@ -391,28 +569,26 @@ def _packer(ranges: int):
             texts.append((text or "").encode("utf-8", "replace"))
             size += len(texts[-1]) + 16
             if size >= PACK_BYTES:
-                yield from emit(number, ids, held, texts)
+                yield from emit(number, ids, held, texts, trie, pairs)
                 number, size, ids, held, texts = number + 1, 0, [], [], []
         if ids:
-            yield from emit(number, ids, held, texts)
+            yield from emit(number, ids, held, texts, trie, pairs)
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 5), pa.int32()), pa.array(some), pa.array(pairs[some]), pa.nulls(len(some), pa.binary())], ["kind", "pack", "bin", "payload"])
 
     return pack
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    """One range of word hashes to each pack's counts over the corpus, in the order of its hashes, and (kind 3) totals."""
-    packs, values, counts = group.column("pack").to_pylist(), [], []
-    for payload in group.column("payload").to_pylist():
-        n = int.from_bytes(payload[:8], "little")
-        values.append(expand(payload[8 : 8 + n]))
-        counts.append(np.frombuffer(zstandard.decompress(payload[8 + n :]), "<i8"))
-    cuts = np.cumsum([0, *map(len, values)])
-    _, number = np.unique(np.concatenate(values), return_inverse=True)
+    """One range of word hashes to each pack's counts over the corpus, in the order of its hashes, and in pack and bin (kind 3) all counts and how many words have one."""
+    packs, parts = group.column("pack").to_pylist(), [thaw(p)[0] for p in group.column("payload").to_pylist()]
+    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+    _, number = np.unique(np.concatenate([np.cumsum(p[0].view(np.uint64)) for p in parts]), return_inverse=True)
     total = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-    np.add.at(total, number, np.concatenate(counts))
+    np.add.at(total, number, np.concatenate([p[1] for p in parts]))
     bin_ = group.column("bin")[0].as_py()
-    rows = [(2, p, bin_, zstandard.compress(total[number[a:b]].astype("<i8").tobytes(), 1)) for p, a, b in zip(packs, cuts[:-1], cuts[1:], strict=True)]
-    rows.append((3, -1, bin_, np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
+    rows = [(2, p, bin_, freeze([total[number[a:b]]])) for p, a, b in zip(packs, cuts[:-1], cuts[1:], strict=True)]
+    rows.append((3, int(total.sum()), int((total > 0).sum()), b""))
     return pa.Table.from_batches([_rows(rows)])
 
 
@@ -430,47 +606,41 @@ def score(docs: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_rest("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
     total, ends = source.agg(F.sum(F.octet_length("text").cast("long")), F.sum((~F.col("held_out")).cast("long"))).first()
     ends = ends or 0
-    chosen, model = fit(source.where("NOT held_out"), pieces)
+    chosen = useful_pieces(source.where("NOT held_out").select(F.coalesce("text", F.lit("")).alias("text")), pieces if pieces is not None else vocabulary())
     ranges = max(1, -(-(total or 0) // (RANGE_WORDS * 40)))
-    packed = checkpoint(source.mapInArrow(_packer(ranges), _PACKED))
+    packed = checkpoint(source.mapInArrow(_packer(chosen, ranges), _PACKED))
+    model = trained(packed)
+    release(docs.sparkSession)
     summed = checkpoint(packed.where("kind = 1").groupBy("bin").applyInArrow(_summed, _PACKED))
-    pair = F.udf(lambda b: [int(x) for x in np.frombuffer(b, "<i8")], "array<long>")
-    words = summed.where("kind = 3").select(pair("payload").alias("p")).agg(F.sum(F.col("p")[0]), F.sum(F.col("p")[1])).first()
+    words = summed.where("kind = 3").agg(F.sum("pack"), F.sum("bin")).first()
     n, v = (words[0] or 0) + ends, (words[1] or 0) + (ends > 0)
     by_pack = summed.where("kind = 2").groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("bin", "payload"))).alias("parts")).select("pack", F.col("parts.payload").alias("counts"))
     joined = packed.where("kind = 0").select("pack", "payload").join(by_pack, "pack", "left").select("payload", "counts")
-    shared = docs.sparkSession.sparkContext.broadcast((chosen, _flat(model)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, own = Cutter(shared.value[0]), _full(shared.value[1])
         for payload, counts in _values(batches, 1):
-            yield _scored(payload, counts or [], cutter, own, n, v, ends)
+            yield _scored(payload, counts or [], shared.value, n, v, ends)
 
     return joined.mapInArrow(finish, _SCHEMA)
 
 
-def _scored(payload: bytes, counts: list[bytes], cutter: Cutter, model: dict, n: int, v: int, ends: int) -> pa.RecordBatch:
-    size = int.from_bytes(payload[:8], "little")
-    ids, missing = np.frombuffer(payload, "<i8", size, 8), np.frombuffer(payload, np.uint8, size, 8 + 8 * size)
-    flags, texts = _unpack(payload[8 + 9 * size :])
-    flat, sizes, hashes, place = _texts(texts)
-    c = np.concatenate([np.frombuffer(zstandard.decompress(x), "<i8") for x in counts]) if counts else np.zeros(len(hashes), np.int64)
+def _scored(payload: bytes, counts: list[bytes], model: dict, n: int, v: int, ends: int) -> pa.RecordBatch:
+    (ids, missing, train, sizes, lengths, place), body = thaw(payload)
+    size = len(ids)
+    c = np.concatenate([thaw(x)[0][0] for x in counts]) if counts else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(size), sizes)
     logs = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     base = np.bincount(owner, logs[place], size) + np.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
     known = np.bincount(owner, c[place] > 0, size).astype(np.int64) + (ends > 0)
-    starts = np.cumsum([0, *sizes.tolist()])
-    scores = np.zeros(size)
+    flat, cuts, scores = np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum(lengths)]), []
     at = 0
     while at < size:
-        end, many = at, 0
-        while end < size and (end == at or many < 200_000):
-            many += int(sizes[end]) + 1
-            end += 1
-        scores[at:end] = log10_scores(model, [cutter.text(flat[starts[k] : starts[k + 1]]) for k in range(at, end)])
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TEXT_BYTES, "right")) - 1)
+        scores.append(log10_scores(model, Ids(flat[cuts[at] : cuts[end]], lengths[at:end])))
         at = end
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64(), mask=missing > 0), pa.array(flags % 2 == 1, pa.bool_()), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(list(repeat(n, size)), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
+        [pa.array(ids, pa.int64(), mask=missing > 0), pa.array(train == 0, pa.bool_()), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(list(repeat(n, size)), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())],
         [c.split()[0] for c in _SCHEMA.split(", ")],
     )
 

@@ -11,30 +11,6 @@ import zstandard
 PACKED = "kind int, pack long, bin long, payload binary"
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Ascending unsigned integers as compressed differences."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def expand(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.uint64))
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.decompress(data)
-    n = int.from_bytes(raw[:8], "little")
-    ids = np.frombuffer(raw, "<i8", n, 8)
-    sizes = np.frombuffer(raw, "<i8", n, 8 + 8 * n)
-    at = 8 + 16 * n
-    out = []
-    for s in sizes.tolist():
-        out.append(raw[at : at + s])
-        at += s
-    return ids, out
-
-
 def freeze(arrays: list[np.ndarray], body: bytes = b"", level: int = 1) -> bytes:
     """Arrays of 64-bit integers and bytes, compressed; in front, big endian in eight bytes, their plain size."""
     head = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
