@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators.local import detect_all
 from .operators.scoring import detect as detect_rows
 from .operators.scoring import detect_tiered
 from .plans.model import GroupModel, load
@@ -46,14 +49,13 @@ class Detector:
 
     def register(self, name: str = "detect_language") -> None:
         """A SQL function of a text, giving its detections."""
-        from pyspark.sql import functions as F
+        models = self._ready()
 
-        from .functions import scripts
-        from .functions.text import _nfc  # noqa: F401
-        from .operators.local import detect_local
+        @F.pandas_udf("array<struct<lang:string,probability:double>>")
+        def detections(texts: pd.Series) -> pd.Series:
+            return pd.Series([[{"lang": x, "probability": p} for x, p in found] for found in detect_all(texts.fillna("").tolist(), models)])
 
-        models = self._ready()
-        self.spark.udf.register(name, F.pandas_udf(lambda s: s.map(lambda t: [{"lang": x, "probability": p} for x, p in detect_local(t or "", models, scripts)]), "array<struct<lang:string,probability:double>>"))
+        self.spark.udf.register(name, detections)
 
 
 def create(spark: SparkSession, sources) -> Detector:

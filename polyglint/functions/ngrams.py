@@ -1,11 +1,21 @@
-"""Character n-grams of normalised texts."""
+"""Character n-grams of normalised texts.
+
+All sizes are counted in one pass over the texts, in Arrow batches: code points become numbers, an n-gram a number in the
+base of the alphabet, and equal numbers of a row or group are counted by sorting. A row's n-grams never leave its task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZES = (1, 2, 3, 4, 5)
+#: Characters that are counted at a time.
+BATCH_CHARS = 1 << 20
 
 
 def characters(text: Column | str) -> Column:
@@ -25,17 +35,138 @@ def grams(chars: Column | str, n: int) -> Column:
 
 
 def explode_grams(docs: DataFrame, keep: list[str], text: str = "norm", sizes=SIZES) -> DataFrame:
-    """A row (keep..., n, gram) for each n-gram."""
+    """A row (keep..., n, gram) for each n-gram, in one pass."""
     chars = docs.select(*keep, characters(text).alias("__chars"))
-    parts = [chars.select(*keep, F.lit(n).alias("n"), F.explode(grams("__chars", n)).alias("gram")) for n in sizes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sized = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+    named = [F.transform(grams("__chars", n), sized(n)) for n in sizes]
+    return chars.select(*keep, F.explode(F.concat(*named)).alias("__gram")).select(*keep, "__gram.n", "__gram.gram")
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' code points, one text after the other, and where each begins, with the end."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return codes, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def inner(starts: np.ndarray, n: int) -> np.ndarray:
+    """Where the n-grams begin that lie within one text."""
+    many = np.maximum(np.diff(starts) - n + 1, 0)
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[:-1], many)
+
+
+def count_grams(texts: list[str], groups: np.ndarray, sizes=SIZES) -> Iterator[tuple[int, np.ndarray, list[str], np.ndarray]]:
+    """For each size: (n, group, gram, count) of the n-grams of texts whose groups, from 0 on, are given."""
+    codes, starts = code_points(texts)
+    alphabet, letters = np.unique(codes, return_inverse=True)
+    base, owner = len(alphabet) + 1, np.repeat(np.asarray(groups, np.int64), np.diff(starts))
+    # a number for each place's n-gram; ranks keep it small where the base's power would not fit
+    number, most = letters.astype(np.int64), base
+    for n in range(1, max(sizes) + 1):
+        if n > 1:
+            if most >= (1 << 62) // base:
+                ranks, number = np.unique(number, return_inverse=True)
+                most = len(ranks)
+            number = number[:-1] * base + letters[n - 1 :] if len(number) else number
+            most *= base
+        if n not in sizes:
+            continue
+        at = inner(starts, n)
+        if not len(at):
+            continue
+        if most >= (1 << 62) // (int(owner.max()) + 1):
+            ranks, number = np.unique(number, return_inverse=True)
+            most = len(ranks)
+        key, first, count = np.unique(owner[at] * most + number[at], return_index=True, return_counts=True)
+        at = at[first]
+        flat = codes[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le", "surrogatepass")
+        yield n, key // most, [flat[i : i + n] for i in range(0, len(flat), n)], count
+
+
+def batched(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of Arrow batches of some BATCH_CHARS, or one row, with the texts; null texts are empty."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(text).to_pylist()]
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
+                size += len(texts[end])
+                end += 1
+            yield batch.slice(at, end - at), texts[at:end]
+            at = end
+
+
+def kept_schema(docs: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
 
 def frequencies(docs: DataFrame, keep: list[str], n: int, text: str = "norm") -> DataFrame:
-    """(keep..., gram, cnt, freq) of one n-gram size; freq is of all n-grams of the row. keep must tell rows apart."""
-    counts = explode_grams(docs.select(*keep, text), keep, text, (n,)).groupBy(*keep, "gram").agg(F.count("*").alias("cnt"))
-    sized = docs.select(*keep, (F.length(text) - n + 1).alias("__all"))
-    return counts.join(sized, keep).select(*keep, "gram", "cnt", (F.col("cnt") / F.col("__all")).alias("freq"))
+    """(keep..., gram, cnt, freq) of one n-gram size; freq is of all n-grams of the row. Rows stay where they are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batched(batches, len(keep)):
+            sizes = np.array([len(t) - n + 1 for t in texts], np.int64)
+            for _, row, names, many in count_grams(texts, np.arange(len(texts)), (n,)):
+                columns = [batch.column(k).take(pa.array(row)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(many, pa.int64()), pa.array(many / sizes[row])], [*keep, "gram", "cnt", "freq"])
+
+    return docs.select(*keep, F.col(text)).mapInArrow(count, f"{kept_schema(docs, keep)}, gram string, cnt long, freq double")
+
+
+def group_counts(docs: DataFrame, group: str, text: str = "norm", sizes=SIZES) -> DataFrame:
+    """(group, n, gram, cnt): counts over all rows of a group (a string), summed within batches before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batched(batches, 1):
+            names = batch.column(0).dictionary_encode()
+            of = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
+            values = pa.array([*names.dictionary.to_pylist(), None], pa.string())
+            for n, which, found, many in count_grams(texts, of, sizes):
+                yield pa.RecordBatch.from_arrays([values.take(pa.array(which)), pa.array(np.full(len(which), n), pa.int32()), pa.array(found, pa.string()), pa.array(many, pa.int64())], [group, "n", "gram", "cnt"])
+
+    counted = docs.select(F.col(group).cast("string").alias(group), F.col(text)).mapInArrow(count, f"`{group}` string, n int, gram string, cnt long")
+    return counted.groupBy(group, "n", "gram").agg(F.sum("cnt").alias("cnt"))
+
+
+class GramTable:
+    """A vocabulary (n-gram by place) that is looked up for all places of many texts at once."""
+
+    def __init__(self, vocab: list[str]):
+        self.size, self.sizes = len(vocab), sorted({len(g) for g in vocab if g})
+        letters = sorted({c for g in vocab for c in g})
+        self.base = len(letters) + 1
+        if self.base ** max(self.sizes, default=1) >= 1 << 62:
+            raise ValueError("the vocabulary has too many letters for its longest n-grams")
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, self.base)
+        # the first place of an n-gram counts; padding (empty ones) never occurs
+        place = {}
+        for k, g in enumerate(vocab):
+            if g:
+                place.setdefault(g, k)
+        self.tables = {}
+        for n in self.sizes:
+            own = sorted((sum(int(self.letter[ord(c)]) * self.base ** (n - 1 - i) for i, c in enumerate(g)), k) for g, k in place.items() if len(g) == n)
+            self.tables[n] = np.array([x for x, _ in own], np.int64), np.array([k for _, k in own], np.int64)
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, count) of the n-grams of the vocabulary that occur, in order."""
+        codes, starts = code_points(texts)
+        letters = self.letter[codes].astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        number, keys = letters, []
+        for n in range(1, max(self.sizes, default=0) + 1):
+            if n > 1:
+                number = number[:-1] * self.base + letters[n - 1 :] if len(number) else number
+            if n not in self.tables or not len(number):
+                continue
+            known, places = self.tables[n]
+            # a letter that the vocabulary lacks makes the n-gram unknown
+            bad = np.concatenate([[0], np.cumsum(letters == 0)])
+            at = inner(starts, n)
+            at = at[bad[at + n] == bad[at]]
+            found = np.minimum(np.searchsorted(known, number[at]), len(known) - 1)
+            hit = known[found] == number[at]
+            keys.append(owner[at[hit]] * self.size + places[found[hit]])
+        key, count = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+        return key // max(1, self.size), key % max(1, self.size), count

@@ -22,8 +22,7 @@ FAMILIES: dict[str, list[tuple[int, int]]] = {
 }
 UNIQUE = {"korean": "kor", "georgian": "kat", "armenian": "hye", "bengali": "ben", "greek": "ell", "hebrew": "heb"}
 GROUPS = ("cyrillic", "arabic", "devanagari", "latin")
-#: The tiered router's Latin test, narrower than the family, and letters that only one Cyrillic language has.
-TIERED_LATIN = [(0x0041, 0x005A), (0x0061, 0x007A), (0x00C0, 0x024F)]
+#: Letters that only one Cyrillic language has.
 CYRILLIC_ONLY = {"srp": "ЂђЋћ", "mkd": "ЃѓЌќЅѕ", "bel": "Ўў", "ukr": "ЇїЄє", "kaz": "ӘәҒғҚқҢңӨөҮү"}
 
 
@@ -33,8 +32,10 @@ def char_class(ranges: list[tuple[int, int]]) -> str:
 
 
 def count_in(text: Column | str, family: str) -> Column:
+    """Characters of a family: what is left without the runs of all others."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_count(text, F.lit(char_class(FAMILIES[family]))), F.lit(0)).cast("long")
+    others = char_class(FAMILIES[family]).replace("[", "[^", 1) + "+"
+    return F.coalesce(F.length(F.regexp_replace(text, others, "")), F.lit(0)).cast("long")
 
 
 def histogram(text: Column | str) -> list[Column]:

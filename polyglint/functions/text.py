@@ -23,20 +23,21 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. There is no built-in for it, so only texts with combining characters or the like go to Python."""
-    return F.when(text.rlike(r"[^\x00-\x{02FF}]"), _nfc(text)).otherwise(text)
+    """Canonical composition. There is no built-in for it; texts below U+0300, which it never changes, pass by the Python
+    worker: it gets a null for them."""
+    odd = text.rlike(r"[^\x00-\x{02FF}]")
+    return F.when(odd, _nfc(F.when(odd, text))).otherwise(text)
 
 
-def normalize(text: Column | str, compose: bool = True) -> Column:
+def normalize(text: Column | str) -> Column:
     """Lower-case letters and marks with single spaces, and a space at either end; null stays null.
 
     Hyphens become spaces, all else that is no letter, mark or space goes without a trace, and runs of white space shrink
     to a space; a white-space character that stands alone stays as it is.
     """
-    out = F.col(text) if isinstance(text, str) else text
-    out = nfc(out) if compose else out
+    out = nfc(F.col(text) if isinstance(text, str) else text)
     out = F.regexp_replace(out, "-+", " ")
-    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}{SPACE}]", "")
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}{SPACE}]+", "")
     out = F.regexp_replace(out, rf"[{SPACE}]{{2,}}", " ")
     out = F.regexp_replace(F.lower(out), rf"^[{SPACE}]+|[{SPACE}]+$", "")
     return F.concat(F.lit(" "), out, F.lit(" "))

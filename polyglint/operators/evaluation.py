@@ -26,3 +26,14 @@ def imperfect(by_lang: DataFrame) -> DataFrame:
 def short_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each row cut to each length of SHORT, in a column size."""
     return docs.withColumn("size", F.explode(F.array(*map(F.lit, SHORT)))).withColumn(text, truncate(text, F.col("size")))
+
+
+def compare(rows: DataFrame, detectors: list[str], expected: str = "lang") -> DataFrame:
+    """(detector, lang, total, pass, acc) for several columns of predictions over the same rows."""
+    long = rows.select(expected, F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), F.col(d).alias("pred")) for d in detectors])).alias("d")).select(expected, "d.detector", "d.pred")
+    return accuracy(long, ["detector", expected], expected)
+
+
+def first_seen(rows: DataFrame, lang: str = "lang", order: str = "doc_id") -> DataFrame:
+    """(lang, first): each language once, with the place where it is first seen, in that order."""
+    return rows.where(F.col(lang).isNotNull()).groupBy(lang).agg(F.min(order).alias("first")).orderBy("first", lang)

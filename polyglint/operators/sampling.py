@@ -44,3 +44,11 @@ def truncated_copies(train: DataFrame, part: float, lang: str = "lang", text: st
     size = (F.pmod(F.conv(F.substring(draw(key, seed + 2), 1, 7), 16, 10).cast("int"), F.lit(26)) + 15).cast("int")
     rows = train.withColumn("__rank", rank).withColumn("__n", n).where(F.col("__rank") <= F.floor(F.col("__n") * part))
     return rows.withColumn("size", size).withColumn(text, truncate(text, F.col("size"))).drop("__rank", "__n")
+
+
+def with_copies(train: DataFrame, part: float, lang: str = "lang", text: str = "text", key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """train and its truncated copies, told apart by is_copy."""
+    rows = train.withColumn("is_copy", F.lit(False))
+    if part <= 0:
+        return rows
+    return rows.unionByName(truncated_copies(train, part, lang, text, key, seed).drop("size").withColumn("is_copy", F.lit(True)))

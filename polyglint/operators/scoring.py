@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scripts
-from ..functions.ngrams import explode_grams
+from ..functions.ngrams import batched, explode_grams, kept_schema
 from ..functions.text import normalize
 from ..plans.model import GroupModel
 
@@ -25,19 +26,24 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def frequency_matrix(texts: list[str], model: GroupModel) -> np.ndarray:
     """(texts, features): relative frequencies of the vocabulary's n-grams; all n-grams of a text are its measure."""
     out = np.zeros((len(texts), model.weights.shape[1]), np.float64)
-    at, places = 0, {}
-    for n in sorted(model.vocab):
-        places[n] = {g: at + k for k, g in enumerate(model.vocab[n])}
-        at += len(model.vocab[n])
-    for row, t in enumerate(texts):
-        for n, known in places.items():
-            many = len(t) - n + 1
-            if many > 0 and known:
-                found = [k for k in map(known.get, (t[i : i + n] for i in range(many))) if k is not None]
-                out[row] += np.bincount(found, minlength=out.shape[1])[: out.shape[1]] / many if found else 0
+    row, place, many = model.table.counts(texts)
+    sizes, lengths = np.array([n for n, _ in model.features], np.int64), np.array([len(t) for t in texts], np.int64)
+    out[row, place] = many / (lengths[row] - sizes[place] + 1)
     return out
 
 
+def linear(texts: list[str], model: GroupModel) -> np.ndarray:
+    """(texts, languages): the model's logits, from the n-grams that occur alone; sums go by size, then over sizes in order."""
+    row, place, many = model.table.counts(texts)
+    sizes, lengths = np.array([n for n, _ in model.features], np.int64), np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), len(model.langs)))
+    for n in sorted(model.vocab):
+        own = sizes[place] == n
+        for k, w in enumerate(model.weights):
+            out[:, k] += np.bincount(row[own], many[own] * w[place[own]], len(texts)) / np.maximum(lengths - n + 1, 1)
+    return out + model.bias
+
+
 def probabilities(models: dict[str, GroupModel]):
     """A pandas UDF: normalised text and group to detections in the order of the group's languages."""
 
@@ -50,7 +56,7 @@ def probabilities(models: dict[str, GroupModel]):
                 rows = np.flatnonzero((groups == name).to_numpy() & texts.notna().to_numpy())
                 for a in range(0, len(rows) if model else 0, 500):
                     part = rows[a : a + 500]
-                    found = softmax(frequency_matrix(texts.iloc[part].tolist(), model) @ model.weights.T + model.bias)
+                    found = softmax(linear(texts.iloc[part].tolist(), model))
                     for k, p in zip(part, found, strict=True):
                         out[k] = [{"lang": x, "probability": float(v)} for x, v in zip(model.langs, p, strict=True)]
             yield pd.Series(out)
@@ -108,11 +114,45 @@ def detect_tiered(docs: DataFrame, models: dict[str, GroupModel], text: str = "t
     return rows.select(*own, F.when(F.col("__group").isNull(), F.col("__route")).otherwise(F.get("__found", F.lit(0))["lang"]).alias("lang_tiered"))
 
 
+def logits(docs: DataFrame, model: GroupModel, keep: list[str], text: str = "norm") -> DataFrame:
+    """(keep..., lang, lang_idx, logit) for each row and language; a row without any n-gram of the model has the biases.
+
+    Nothing is shuffled: a row's n-grams are looked up in its task. Null texts count as empty.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batched(batches, len(keep)):
+            found = linear(texts, model)
+            row, lang = np.indices(found.shape).reshape(2, -1)
+            columns = [batch.column(k).take(pa.array(row)) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.langs).take(pa.array(lang)), pa.array(lang.astype(np.int32)), pa.array(found.ravel())], [*keep, "lang", "lang_idx", "logit"])
+
+    return docs.select(*keep, text).mapInArrow(score, f"{kept_schema(docs, keep)}, lang string, lang_idx int, logit double")
+
+
+def ranked(docs: DataFrame, model: GroupModel, keep: list[str], text: str = "norm") -> DataFrame:
+    """(keep..., found): for each row an array of (lang, lang_idx, logit, probability), by logit descending, then lang_idx.
+
+    Ranks go by what the model gives, not by rounded values. One row in, one row out, without a shuffle.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("lang_idx", pa.int32()), ("logit", pa.float64()), ("probability", pa.float64())]))
+        for batch, texts in batched(batches, len(keep)):
+            found = linear(texts, model)
+            p, order = softmax(found), np.argsort(-found, axis=1, kind="stable")
+            out = [[{"lang": model.langs[k], "lang_idx": k, "logit": x[k], "probability": y[k]} for k in o] for o, x, y in zip(order.tolist(), found.tolist(), p.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(out, kind)], [*keep, "found"])
+
+    return docs.select(*keep, text).mapInArrow(score, f"{kept_schema(docs, keep)}, found array<struct<lang:string,lang_idx:int,logit:double,probability:double>>")
+
+
 def relational_logits(docs: DataFrame, vocab: DataFrame, langs: DataFrame, weights: DataFrame, keep: list[str], text: str = "norm") -> DataFrame:
-    """(keep..., lang, logit) by joins: n-grams meet the vocabulary, then its weights; a document without any has the bias.
+    """(keep..., lang, lang_idx, logit) by joins, for small tables: n-grams meet the vocabulary, then its weights.
 
-    For whole weights, scaled integers, the sums are exact. vocab: (n, idx, gram); langs: (lang_idx, lang, bias);
-    weights: (lang_idx, idx, w). All three are bounded by the model's configuration and broadcast.
+    Every n-gram becomes a row that is shuffled by document; logits() gives the same without. vocab: (n, idx, gram);
+    langs: (lang_idx, lang, bias); weights: (lang_idx, idx, w). All three are bounded by the model's configuration and
+    broadcast.
     """
     sizes = sorted(r["n"] for r in vocab.select("n").distinct().collect())
     sized = docs.select(*keep, text, F.length(text).alias("__length"))
@@ -123,10 +163,3 @@ def relational_logits(docs: DataFrame, vocab: DataFrame, langs: DataFrame, weigh
     every = docs.select(*keep).crossJoin(F.broadcast(langs))
     logit = sum((F.coalesce(f"s{n}", F.lit(0.0)) for n in sizes), F.lit(0.0)) + F.col("bias")
     return every.join(by_lang, [*keep, "lang_idx"], "left").select(*keep, "lang", "lang_idx", logit.alias("logit"))
-
-
-def softmax_rows(logits: DataFrame, keep: list[str]) -> DataFrame:
-    """logits with probability (6 places), normalised within keep."""
-    within = Window.partitionBy(*keep)
-    top = logits.withColumn("__e", F.exp(F.col("logit") - F.max("logit").over(within)))
-    return top.withColumn("probability", F.round(F.col("__e") / F.sum("__e").over(within), 6)).drop("__e")

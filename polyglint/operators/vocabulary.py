@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ngrams import SIZES, explode_grams
+from ..functions.ngrams import SIZES, GramTable, batched, group_counts, kept_schema
 from ..plans.model import GroupModel
 
 
 def corpus_counts(docs: DataFrame, lang: str = "lang", text: str = "norm", sizes=SIZES) -> DataFrame:
-    """(lang, n, gram, cnt): how often each n-gram occurs in each language; partial sums come before the shuffle."""
-    return explode_grams(docs.withColumnRenamed(lang, "lang").select("lang", text), ["lang"], text, sizes).groupBy("lang", "n", "gram").agg(F.count("*").alias("cnt"))
+    """(lang, n, gram, cnt): how often each n-gram occurs in each language; batches are summed before the shuffle."""
+    return group_counts(docs.select(F.col(lang).alias("lang"), F.col(text).alias("norm")), "lang", "norm", sizes)
 
 
 def top_grams(counts: DataFrame, k: int) -> DataFrame:
@@ -21,17 +24,21 @@ def top_grams(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def round_robin(counts: DataFrame, langs: list[str], limit: int, n: int) -> list[str]:
-    """limit n-grams of one size, taken from the languages in turn, each giving its most frequent one not yet taken.
+def round_robin(counts: DataFrame, langs: list[str], limits: dict[int, int]) -> dict[int, list[str]]:
+    """For each size limits[n] n-grams, taken from the languages in turn, each giving its most frequent one not yet taken.
 
-    No language is asked for more than its first `limit`, so only these rows come to the driver.
+    No language is asked for more than its first `limit`, so only these rows come to the driver, for all sizes at once.
     """
-    ranked = top_grams(counts.where((F.col("n") == n) & F.col("lang").isin(langs)), limit).orderBy("lang", "rank").toLocalIterator()
-    queues: dict[str, list[str]] = {x: [] for x in langs}
-    for row in ranked:
-        queues[row["lang"]].append(row["gram"])
-    turns = [iter(queues[x]) for x in langs]
-    taken: dict[str, None] = {}
+    limit = F.coalesce(*[F.when(F.col("n") == n, F.lit(k)) for n, k in limits.items()], F.lit(0))
+    ranked = top_grams(counts.where(F.col("lang").isin(langs)), max(limits.values(), default=0)).where(F.col("rank") <= limit)
+    queues: dict[tuple[int, str], list[str]] = {}
+    for row in ranked.orderBy("n", "lang", "rank").toLocalIterator():
+        queues.setdefault((row["n"], row["lang"]), []).append(row["gram"])
+    return {n: _in_turn([queues.get((n, x), []) for x in langs], k) for n, k in limits.items()}
+
+
+def _in_turn(queues: list[list[str]], limit: int) -> list[str]:
+    turns, taken = [iter(q) for q in queues], {}
     while turns and len(taken) < limit:
         still = []
         for turn in turns:
@@ -61,24 +68,42 @@ def canonical(model: GroupModel) -> GroupModel:
         vocab[n] = [model.vocab[n][k] for k in ranked]
         order += [at + k for k in ranked]
         at += len(ranked)
-    return GroupModel(model.langs, vocab, model.weights[:, np.array(order, int)], model.bias, model.codebook)
+    return GroupModel(model.langs, vocab, model.weights[:, np.array(order, int)], model.bias, model.codebook, model.accuracy)
 
 
-def coverage(docs: DataFrame, vocab: DataFrame, keep: list[str], text: str = "norm") -> DataFrame:
-    """(keep..., n, hits, total): n-grams of each document that the vocabulary has, and all; vocab: (n, gram), distinct.
+def coverage(docs: DataFrame, vocab: list[str], keep: list[str], text: str = "norm", sizes=SIZES) -> DataFrame:
+    """(keep..., n, hits, total): n-grams of each row that the vocabulary has, and all; rows stay where they are.
 
-    The vocabulary is bounded by its configuration, so it is broadcast and joined before any shuffle.
+    The vocabulary is bounded by its configuration and goes along with the tasks. Sizes that a text is too short for have no row.
     """
-    sizes = [n for n in SIZES]
-    known = F.broadcast(vocab.select("n", "gram").distinct().withColumn("__hit", F.lit(1)))
-    rows = explode_grams(docs, keep, text, sizes).join(known, ["n", "gram"], "left")
-    return rows.groupBy(*keep, "n").agg(F.sum(F.coalesce("__hit", F.lit(0))).alias("hits"), F.count("*").alias("total"))
-
-
-def sparse_features(docs: DataFrame, vocab: DataFrame, keep: list[str], text: str = "norm") -> DataFrame:
-    """(keep..., idx, freq) of the features that a document has; vocab: (n, idx, gram)."""
-    sizes = sorted(r["n"] for r in vocab.select("n").distinct().collect())
-    sized = docs.select(*keep, text, F.length(text).alias("__length"))
-    rows = explode_grams(sized, [*keep, "__length"], text, sizes).join(F.broadcast(vocab.select("n", "gram", "idx")), ["n", "gram"])
-    counts = rows.groupBy(*keep, "n", "idx", "__length").agg(F.count("*").alias("cnt")).withColumn("all", F.col("__length") - F.col("n") + 1)
-    return counts.select(*keep, "idx", (F.col("cnt") / F.col("all")).alias("freq"))
+    sizes = sorted(sizes)
+    lengths = np.array([len(g) for g in vocab], np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = GramTable(vocab)
+        for batch, texts in batched(batches, len(keep)):
+            row, place, many = table.counts(texts)
+            for n in sizes:
+                own = lengths[place] == n
+                hits = np.bincount(row[own], many[own], len(texts)).astype(np.int64)
+                total = np.array([len(t) - n + 1 for t in texts], np.int64)
+                some = np.flatnonzero(total > 0)
+                columns = [batch.column(k).take(pa.array(some)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(some), n), pa.int32()), pa.array(hits[some]), pa.array(total[some])], [*keep, "n", "hits", "total"])
+
+    return docs.select(*keep, text).mapInArrow(count, f"{kept_schema(docs, keep)}, n int, hits long, total long")
+
+
+def sparse_features(docs: DataFrame, vocab: list[str], keep: list[str], text: str = "norm") -> DataFrame:
+    """(keep..., idx, freq) of the features that a row has, idx being the place in the vocabulary; rows stay where they are."""
+    lengths = np.array([len(g) for g in vocab], np.int64)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = GramTable(vocab)
+        for batch, texts in batched(batches, len(keep)):
+            row, place, many = table.counts(texts)
+            freq = many / (np.array([len(t) for t in texts], np.int64)[row] - lengths[place] + 1)
+            columns = [batch.column(k).take(pa.array(row)) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32)), pa.array(freq)], [*keep, "idx", "freq"])
+
+    return docs.select(*keep, text).mapInArrow(features, f"{kept_schema(docs, keep)}, idx int, freq double")

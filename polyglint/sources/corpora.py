@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import MIN_PARAGRAPH, paragraphs, trim
 from ..operators.sampling import reservoir, with_fallback
 
-#: Files of the declaration and their languages where the name alone does not tell, and those it does.
+#: Files of the declaration and their languages.
 DECLARATION_CODES = {
-    "cmn_hans": "cmn", "deu_1996": "deu", "ell_monotonic": "ell", "hau_NG": "hau", "pes_1": "pes", "por_BR": "por", "por_PT": "por", "ron_2006": "ron", "srp_cyrl": "srp", "srp_latn": "srp",
-} | {
-    x: x for x in "afr bel ben bul cat ces dan eng eus fin fra heb hin hrv hun hye ind isl ita jpn kat kaz kor lit mar mkd nld nob pol run rus slk spa swe tgl tur ukr vie".split()
-}
+    "afr": "afr", "bel": "bel", "ben": "ben", "bul": "bul", "cat": "cat", "ces": "ces", "cmn_hans": "cmn", "dan": "dan",
+    "deu_1996": "deu", "ell_monotonic": "ell", "eng": "eng", "eus": "eus", "fin": "fin", "fra": "fra", "hau_NG": "hau", "heb": "heb",
+    "hin": "hin", "hrv": "hrv", "hun": "hun", "hye": "hye", "ind": "ind", "isl": "isl", "ita": "ita", "jpn": "jpn",
+    "kat": "kat", "kaz": "kaz", "kor": "kor", "lit": "lit", "mar": "mar", "mkd": "mkd", "nld": "nld", "nob": "nob",
+    "pes_1": "pes", "pol": "pol", "por_BR": "por", "por_PT": "por", "ron_2006": "ron", "run": "run", "rus": "rus", "slk": "slk",
+    "spa": "spa", "srp_cyrl": "srp", "srp_latn": "srp", "swe": "swe", "tgl": "tgl", "tur": "tur", "ukr": "ukr", "vie": "vie",
+}
 #: The news corpus of each language that has one.
 NEWS = {"slk": "slk_newscrawl_2016_100K", "nob": "nob_newscrawl_2019_100K", "aze": "aze_newscrawl_2013_100K", "kaz": "kaz_newscrawl_2016_100K", "afr": "afr_newscrawl_2013_100K", "run": "run_community_2017", "hrv": "hrv_newscrawl_2016_100K", "est": "est_newscrawl_2017_100K", "eus": "eus_newscrawl_2012_100K"}
 #: Sentences for each language from the sentence list and from the news.
