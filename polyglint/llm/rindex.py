@@ -103,6 +103,20 @@ def anchors(data: np.ndarray, starts: np.ndarray, search: Search) -> tuple[np.nd
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
+class Starts:
+    """Ascending places below n as bits, with counts before each word, to tell how many are at or below a place."""
+
+    def __init__(self, places: np.ndarray, n: int):
+        bits = np.zeros(-(-n // 64) * 64, bool)
+        bits[places] = True
+        self.words = np.packbits(bits, bitorder="little").view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
+
+    def upto(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] << (63 - (at & 63)).astype(np.uint64))
+
+
 class RunIndex:
     """Run-length index of texts (bytes without zeros), each of a document, for matches of LENGTH bytes.
 
@@ -118,19 +132,22 @@ class RunIndex:
         order, joined = self._sorted(n)
         before = self.data[order - 1]
         before[order == 0] = 0
-        self.start = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
-        self.length = np.diff(np.append(self.start, n))
-        self.head = before[self.start].astype(np.int64)
-        self.first, self.last = order[self.start], order[self.start + self.length - 1]
-        by_head = np.argsort(self.head, kind="stable")
-        ends = np.cumsum(self.length[by_head])
-        self.target = np.empty(len(by_head), np.int64)
-        self.target[by_head] = ends - self.length[by_head]
-        self.by_head = self.head[by_head] * len(by_head) + by_head
+        start = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
+        self.runs = Starts(start, n)
+        length = np.diff(np.append(start, n))
+        self.last_row = start + length - 1
+        head = before[start].astype(np.int64)
+        self.first, self.last = order[start], order[self.last_row]
+        by_head = np.argsort(head, kind="stable")
+        target = np.empty(len(by_head), np.int64)
+        target[by_head] = np.cumsum(length[by_head]) - length[by_head]
+        self.by_head = head[by_head] * len(by_head) + by_head
+        # a run's first row, its byte, and how far a step back goes from its rows
+        self.table = np.stack([start, head, target - start], axis=1)
         ranges = np.flatnonzero(~joined)
         earliest = np.minimum.reduceat(np.repeat(docs, [len(t) + 1 for t in texts])[order], ranges)
         new = np.concatenate([[True], earliest[1:] != earliest[:-1]])
-        self.range, self.earliest = ranges[new], earliest[new]
+        self.ranges, self.earliest = Starts(ranges[new], n), earliest[new]
 
     def _sorted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in order of the DEPTH bytes from each on, then the byte before; and which share LENGTH bytes with the one above."""
@@ -175,35 +192,37 @@ class RunIndex:
 
         For each place from which LENGTH bytes of a lane match, found gets the earliest document, if that is earlier.
         """
-        order = np.argsort(begin - end, kind="stable")
-        begin, end = begin[order], end[order]
-        size, runs = end - begin, len(self.start)
+        place, left, count = end - 1, end - begin - 1, len(self.table)
         row, match = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
-        for back in range(1, int(size.max(initial=0)) + 1):
-            n = np.searchsorted(-size, -back, "right")
-            place, q, fit = end[:n] - back, row[:n], match[:n]
+        back = 0
+        while len(place):
+            back += 1
             wanted = data[place].astype(np.int64)
-            run = np.searchsorted(self.start, q, "right") - 1
-            off = np.flatnonzero(self.head[run] != wanted)
+            run = self.runs.upto(row) - 1
+            _, head, step = self.table[run].T
+            off = np.flatnonzero(head != wanted)
             if off.size:
-                at = np.searchsorted(self.by_head, wanted[off] * runs + run[off])
-                above, below = self.by_head[np.maximum(at - 1, 0)] - wanted[off] * runs, self.by_head[np.minimum(at, runs - 1)] - wanted[off] * runs
-                has_above, has_below = (at > 0) & (above >= 0) & (above < runs), (at < runs) & (below >= 0) & (below < runs)
+                step = step.copy()
+                at = np.searchsorted(self.by_head, wanted[off] * count + run[off])
+                above, below = self.by_head[np.maximum(at - 1, 0)] - wanted[off] * count, self.by_head[np.minimum(at, count - 1)] - wanted[off] * count
+                has_above, has_below = (at > 0) & (above >= 0) & (above < count), (at < count) & (below >= 0) & (below < count)
                 above, below = np.where(has_above, above, 0), np.where(has_below, below, 0)
                 up = np.where(has_above, self.common(self.last[above], data, place[off] + 1, back - 1), -1)
                 down = np.where(has_below, self.common(self.first[below], data, place[off] + 1, back - 1), -1)
-                rise = up >= down
-                run[off] = np.where(rise, above, below)
-                q[off] = np.where(rise, self.start[above] + self.length[above] - 1, self.start[below])
-                fit[off] = np.maximum(up, down)
-            q[:] = self.target[run] + (q - self.start[run])
-            fit += 1
-            if off.size:
-                q[off[fit[off] == 0]] = 0
-            hit = np.flatnonzero(fit >= LENGTH)
+                rise, best = up >= down, np.maximum(up, down)
+                chosen = self.table[np.where(rise, above, below)]
+                # without a run of this byte the match is empty, at any row
+                row[off] = np.where(best < 0, 0, np.where(rise, self.last_row[above], chosen[:, 0]))
+                step[off] = np.where(best < 0, 0, chosen[:, 2])
+                match[off] = best
+            row += step
+            match = np.minimum(match + 1, LENGTH)
+            hit = np.flatnonzero(match == LENGTH)
             if hit.size:
-                fit[hit] = LENGTH
-                found[place[hit]] = np.minimum(found[place[hit]], self.earliest[np.searchsorted(self.range, q[hit], "right") - 1])
+                found[place[hit]] = np.minimum(found[place[hit]], self.earliest[self.ranges.upto(row[hit]) - 1])
+            # lanes go on while what is left of them can still make a match
+            on = np.flatnonzero((left > 0) & (match + left >= LENGTH))
+            place, left, row, match = place[on] - 1, left[on] - 1, row[on], match[on]
 
 
 #: The least numbers above one byte, two and so on.
