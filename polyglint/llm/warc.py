@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_SHARE, checkpoint, table
+from .common import HEAVY_SHARE, checkpoint, heavy_join, table
 
-#: A URL with more records than this, and more than HEAVY_SHARE of all, is ordered in blocks of about so many.
-BLOCK_ROWS = 20_000
+#: A URL with more instants than this, and more than HEAVY_SHARE of all, is ordered in so many blocks of nearly even load.
+BLOCK_ROWS, BLOCKS = 20_000, 500
 #: Headers of a 304 that never replace those of the stored response.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "etag", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that do not name another page.
@@ -39,28 +39,36 @@ def resolve(records: DataFrame) -> DataFrame:
     Validators: etag (weak ones compare as strong), last-modified and the digest, each where both sides have it. outcome:
     resolved (one compares at least, all agree), mismatch, unverified (none compares), no_original. digest is the
     original's if resolved; headers are the original's with the revisit's permitted ones over them, or the revisit's own
-    if it isn't resolved. Revisits without URL or ts have no original. Repeated rows are rows of their own.
+    if it isn't resolved. Revisits without URL or ts have no original. Repeated rows are rows of their own; an empty table
+    gives no rows. Digests and headers of any length are compared whole.
+
+    Records of one URL and instant are one point in time, so that a burst is no more than that; a URL of very many points
+    is cut into blocks at quantiles of its own instants.
     """
     rows = records.select("record_id", canonical_url("url").alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest")
     rows = checkpoint(rows.where(F.col("kind").isin("response", "revisit")))
-    total = rows.count()
-    per_url = rows.where("url_key IS NOT NULL AND ts IS NOT NULL").groupBy("url_key").agg(F.count("*").alias("__n"), F.min("ts").alias("__from"), F.max("ts").alias("__to"))
-    hot = F.broadcast(per_url.where(F.col("__n") > max(BLOCK_ROWS, total * HEAVY_SHARE)))
-    place = F.floor((F.col("ts") - F.col("__from")) / (F.col("__to") - F.col("__from") + 1) * F.ceil(F.col("__n") / BLOCK_ROWS))
-    rows = rows.join(hot, "url_key", "left").withColumn("__block", F.coalesce(place, F.lit(0))).drop("__n", "__from", "__to")
-    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("url_key").isNotNull()
-    facts = F.when(full, F.struct("record_id", "ts", "headers", "digest"))
-    stamp = F.when(full, F.struct("ts", "record_id"))
     usable = rows.where("url_key IS NOT NULL AND ts IS NOT NULL")
+    facts = F.struct("record_id", "ts", "headers", "digest")
+    full = usable.where("kind = 'response' AND status = 200").groupBy("url_key", "ts").agg(F.max_by(facts, F.struct("record_id")).alias("__fact"))
+    asked = usable.where("kind = 'revisit'").groupBy("url_key", "ts").agg(F.count("*").alias("__n"))
+    points = checkpoint(full.withColumn("__n", F.lit(None).cast("long")).unionByName(asked.withColumn("__fact", F.lit(None).cast(full.schema["__fact"].dataType))))
+    total = points.count()
+    per_url = points.groupBy("url_key").agg(F.count("*").alias("__rows")).where(F.col("__rows") > max(BLOCK_ROWS, total * HEAVY_SHARE))
+    hot = checkpoint(per_url.select("url_key"))
+    cuts = points.join(F.broadcast(hot), "url_key").groupBy("url_key").agg(F.percentile_approx("ts", [k / BLOCKS for k in range(1, BLOCKS)], 20 * BLOCKS).alias("__cuts"))
+    place = F.size(F.filter("__cuts", lambda c: c < F.col("ts")))
+    points = points.join(F.broadcast(cuts), "url_key", "left").withColumn("__block", F.when(F.col("__cuts").isNotNull(), place).otherwise(0)).drop("__cuts")
     inside = Window.partitionBy("url_key", "__block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = usable.withColumn("__near", F.max_by(facts, stamp).over(inside)).where("kind = 'revisit'")
+    near = points.withColumn("__near", F.max_by("__fact", F.when(F.col("__fact").isNotNull(), F.col("ts"))).over(inside)).where("__n IS NOT NULL")
     # what a block inherits: the last response of the blocks before it; only hot URLs have more than one block
-    last = usable.where(full & F.col("url_key").isNotNull()).join(hot.select("url_key"), "url_key", "left_semi").groupBy("url_key", "__block").agg(F.max_by(facts, stamp).alias("__last"), F.max(stamp).alias("__stamp"))
-    marks = near.select("url_key", "__block").join(hot.select("url_key"), "url_key", "left_semi").distinct().join(last, ["url_key", "__block"], "full")
+    last = points.where("__fact IS NOT NULL").join(F.broadcast(hot), "url_key", "left_semi").groupBy("url_key", "__block").agg(F.max_by("__fact", "ts").alias("__last"), F.max("ts").alias("__stamp"))
+    marks = near.select("url_key", "__block").join(F.broadcast(hot), "url_key", "left_semi").distinct().join(last, ["url_key", "__block"], "full")
     earlier = Window.partitionBy("url_key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("url_key", "__block", F.max_by("__last", "__stamp").over(earlier).alias("__carried"))
-    joined = near.join(carried, ["url_key", "__block"], "left").withColumn("__original", F.coalesce("__near", "__carried"))
-    lost = rows.where("(url_key IS NULL OR ts IS NULL) AND kind = 'revisit'").withColumn("__original", F.lit(None).cast(joined.schema["__original"].dataType))
+    found = near.join(carried, ["url_key", "__block"], "left").select("url_key", "ts", "__n", F.coalesce("__near", "__carried").alias("__original"))
+    revisits = rows.where("kind = 'revisit'")
+    joined = heavy_join(revisits.where("url_key IS NOT NULL AND ts IS NOT NULL"), checkpoint(found), ["url_key", "ts"], "__n", total)
+    lost = revisits.where("url_key IS NULL OR ts IS NULL").withColumn("__original", F.lit(None).cast(joined.schema["__original"].dataType))
     columns = ["record_id", "url_key", "headers", "digest", "__original"]
     return _verdict(joined.select(columns).unionByName(lost.select(columns)))
 
