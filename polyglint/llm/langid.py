@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_rest, plain_name, table
 
-#: Bounds of the labelled sample: languages (those with most rows), texts for each, and bytes of a text.
-MAX_LANGS, SAMPLE_ROWS, SAMPLE_BYTES = 256, 32, 1024
+#: Bounds of the labelled sample: texts for each language, bytes of a text, and texts of all languages, which share them
+#: evenly when they are very many; each language has one at least.
+SAMPLE_ROWS, SAMPLE_BYTES, ALL_ROWS = 32, 1024, 16_384
 #: Bytes that are compressed at a time, so that the dictionary counts throughout a long text.
 BLOCK = 4096
 #: Below this relative gap between the two smallest sizes the label is rejected; the gap that makes odds of e.
@@ -35,18 +36,17 @@ def fold(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries by language, from at most SAMPLE_ROWS distinct texts of each of at most MAX_LANGS languages.
+    """Dictionaries by language, from at most SAMPLE_ROWS distinct texts of each language.
 
-    Rows whose text or language is null are passed over. The choice depends on the texts alone: those with the least
-    hash modulo 2^30. A first pass counts rows and, nearly, distinct texts by language, so that the second keeps only a small
-excess of the texts it needs.
+    Rows whose text or language is null, and empty texts, are passed over. The choice depends on the texts alone: those
+    with the least hash modulo 2^30. A first pass counts distinct texts by language, nearly, so that the second keeps
+    only a small excess of the texts it needs. Ties of the hash go by the text, copies count once, an empty table gives none.
     """
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
-    counts = {r["lang"]: r["texts"] for r in counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["texts"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()}
     if not counts:
         return {}
-    spark, scale = labelled.sparkSession, 1 << 30
+    spark, scale, many = labelled.sparkSession, 1 << 30, max(1, min(SAMPLE_ROWS, ALL_ROWS // len(counts)))
     share = spark.createDataFrame([(k, int(min(1.0, 64 * SAMPLE_ROWS / max(1, n)) * scale)) for k, n in counts.items()], "lang string, share long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(scale)), "hash"))
     picked = (
@@ -56,7 +56,7 @@ excess of the texts it needs.
         .groupBy("lang", "hash")
         .agg(F.max(F.substring("text", 1, 4 * SAMPLE_BYTES)).alias("text"))
         .withColumn("rank", rank)
-        .where(F.col("rank") <= SAMPLE_ROWS)
+        .where(F.col("rank") <= many)
     )
     parts: dict[str, list[bytes]] = {}
     for r in picked.orderBy("lang", "rank").toLocalIterator():
@@ -92,7 +92,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
     """docs with lang_pred, score, margin and rejected.
 
     A null text or one without a letter gives `und`, score 0 and rejected, as does a model without languages. Clashing
-    columns are replaced; all others pass through. The dictionaries are at most MAX_LANGS * SAMPLE_ROWS * SAMPLE_BYTES.
+    columns are replaced; all others pass through, repeated rows included. Texts of any length are compressed whole, in
+    blocks; of equal sizes the first language by name wins. The dictionaries are at most SAMPLE_ROWS * SAMPLE_BYTES each.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
