@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+import zstandard
 from plain import lpt, pour
 from pyspark.sql import functions as F
 
@@ -84,6 +86,18 @@ def without_windows(rows):
     return sorted(((d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[-1 if d is None else d, t])) for d, t in rows), key=str)
 
 
+CLASHES = ["win", "__words", "__lines", "__text", "__host", "__bad", "__own0", "__all", "__row", "__heavy", "__id", "__digest", "__gone", "__window", "__n", "__doc", "__key", "key", "n", "best", "own", "place", "hashes", "level0", "rank", "piece", "start", "size", "shards", "h", "lang_idx", "__found", "label", "bin", "pack", "payload", "kind"]
+
+
+@pytest.mark.parametrize("apply", [lambda d: hosts.judge(d), lambda d: hosts.keep_good(d), lambda d: lines.remove_repeats(d), lambda d: mixing.select(d, mixing.document_path(), mixing.WEIGHTS), lambda d: mixing.repeat(d, mixing.document_path(), mixing.WEIGHTS), lambda d: langid.predict(d, {"en": b"the cat", "fr": b"le chat"})])
+def test_columns_of_any_name_stay(spark, apply):
+    long = " ".join(f"w{k % 977}" for k in range(40_000)) + "\nx\ny\nz"
+    rows = [(1, long, "en", "s1"), (2, "one two three four five six seven eight nine ten eleven", "en", "s1"), (2, "one two three four five six seven eight nine ten eleven", "en", "s1"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(c) for c in CLASHES})
+    got = apply(docs).collect()
+    assert got and all(r[c] == c for r in got for c in CLASHES)
+
+
 def test_line_windows(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "long line"]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
@@ -239,14 +253,15 @@ def test_canonical_url(spark, url, want):
 @pytest.mark.parametrize("block", [2, 20_000])
 def test_revisits(spark, monkeypatch, block):
     monkeypatch.setattr(warc, "BLOCK_ROWS", block)
+    monkeypatch.setattr(warc, "BLOCKS", 6)
     monkeypatch.setattr(warc, "HEAVY_SHARE", 0.0)
     rng = random.Random(5)
     rows = []
-    for k in range(120):
+    for k in range(160):
         kind = rng.choice(["response", "revisit"])
         url = rng.choice(["http://a.org/x", "https://www.a.org/x/", "http://b.org", None])
         head = rng.choice([None, {}, {"etag": f'"{rng.randrange(3)}"'}, {"last-modified": str(rng.randrange(2)), "date": str(k), "content-length": "0"}])
-        rows.append((k, url, rng.choice([None, *range(40)]), kind, rng.choice([200, 200, 404]) if kind == "response" else 304, head, rng.choice([None, "d1", "d2"]), "x"))
+        rows.append((k, url, rng.choice([None, 7, 7, 7, *range(40)]), kind, rng.choice([200, 200, 404]) if kind == "response" else 304, head, rng.choice([None, "d1", "d2"]), "x"))
     schema = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string, outcome string"
     got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, schema)).collect()}
     key = {"http://a.org/x": "a", "https://www.a.org/x/": "a", "http://b.org": "b"}
@@ -287,6 +302,43 @@ def test_language_id_among_copies(spark):
     assert model == langid.fit(docs.distinct())
 
 
+def plain_model(rows):
+    """Dictionaries of (text, lang) rows: the distinct texts of least hash, folded and cut."""
+    out = {}
+    for lang in sorted({x for t, x in rows if t and x}):
+        hashes = {xxhash.xxh64_intdigest(t.encode(), 42): t for t, x in rows if x == lang and t}
+        signed = sorted(((h - (1 << 64) * (h >> 63)) % (1 << 30), h - (1 << 64) * (h >> 63), t) for h, t in hashes.items())
+        folded = [" ".join("".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in t[: 4 * langid.SAMPLE_BYTES].lower()).split()).encode() for _, _, t in signed[: langid.SAMPLE_ROWS]]
+        out[lang] = b" ".join(f[: langid.SAMPLE_BYTES] for f in folded)
+    return out
+
+
+def test_language_id_is_its_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    model = langid.fit(docs)
+    assert model == plain_model(rows)
+    tie = [("x y", "en"), ("x y", "fr"), ("long word " * 5_000, None), ("x y", "en")]
+    for r in langid.predict(spark.createDataFrame([*rows[:60], *tie], "text string, margin string"), model).collect():
+        sizes = {}
+        for lang, data in model.items():
+            known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=2, min_match=3, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            folded = langid.fold(r.text)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress(folded[i : i + langid.BLOCK])) for i in range(0, len(folded), langid.BLOCK))
+        order = sorted(sizes, key=lambda k: (sizes[k], k))
+        assert (r.lang_pred, r.rejected) == (order[0], 1 - sizes[order[0]] / sizes[order[1]] < langid.MIN_MARGIN)
+
+
+def test_language_id_keeps_every_language(spark):
+    """Few distinct texts among many rows, and more languages than the sample has room for."""
+    french = spark.range(200_000).select(F.concat(F.lit("un texte numero "), (F.col("id") % 8).cast("string")).alias("text"), F.lit("fr").alias("lang"))
+    english = spark.range(50).select(F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert set(langid.fit(french.unionByName(english))) == {"fr", "en"}
+    many = spark.range(900).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), (F.col("id") % 300).cast("string").alias("lang"))
+    assert len(langid.fit(many)) == 300
+
+
 def test_language_id_odd_rows(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 !?", "fr"), (4, "the cat and the dog " * 9000, None), (4, "the cat", "en"), (4, "the cat", "en"), (5, "le chat", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
