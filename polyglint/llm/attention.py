@@ -500,7 +500,7 @@ def trained(packed: DataFrame) -> dict[str, np.ndarray]:
         found, left = part.mapInArrow(learn, "part long, seen long, model binary"), trainers
         while left > MEANS:
             left = -(-left // MEANS)
-            found = found.groupBy((F.col("part") % left).alias("part")).applyInArrow(_average, "part long, seen long, model binary")
+            found = found.withColumn("part", F.col("part") % left).groupBy("part").applyInArrow(_average, "part long, seen long, model binary")
         got = found.toArrow()
         if got.num_rows:
             model |= _full(_average(got).column("model")[0].as_py())
