@@ -2,37 +2,38 @@
 
 The groups never reach the driver. Groups of one size are interchangeable for the rule, so the heap runs over the
 histogram of group sizes alone. With d distinct sizes the groups hold at least d(d+1)/2 bytes, so a corpus of T bytes
-has at most sqrt(2T) histogram rows (14 million for 100 TB, in two long columns). Groups of one size are then numbered
-in bounded pieces on the executors, and a group's number tells its shard.
+has at most sqrt(2T) histogram rows (14 million for 100 TB). They pass through the driver largest first, in chunks that
+go back to the shared folder. Groups of one size are then numbered in bounded pieces on the executors, and a group's
+number tells its shard.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, heavy_join, table
+from .common import checkpoint, heavy_join, shared_folder, table
 
-#: Rows that one window task numbers, on average.
-PIECE_ROWS = 20_000
-#: Size classes up to this many rows are broadcast (some 10 MB); beyond it they are joined by shuffle.
-BROADCAST_CLASSES = 100_000
+#: Rows that one window task numbers, on average; size classes that the driver holds at a time, and that are broadcast (some
+#: 10 MB); more of them are joined by shuffle.
+PIECE_ROWS, CLASSES = 20_000, 100_000
 
 
-def deal(histogram: Iterable[tuple[int, int]], n_shards: int) -> list[tuple[int, int, list[int]]]:
-    """(size, groups of that size) to (size, groups, groups for each shard), by the LPT rule; ties go to the lower shard.
+def deal(histogram: Iterable[tuple[int, int]], n_shards: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(size, groups of that size), largest first, to (size, groups, groups for each shard), by the LPT rule; ties go to the lower shard.
 
     A class is dealt through the heap group by group until all loads lie within one size; from there on the rule only
     goes round, so whole rounds are given out at once.
     """
     loads = [(0, k) for k in range(n_shards)]
     heapq.heapify(loads)
-    out = []
-    for size, n in sorted(histogram, reverse=True):
+    for size, n in histogram:
         got, left = [0] * n_shards, n
         while left:
             load, k = loads[0]
@@ -52,30 +53,46 @@ def deal(histogram: Iterable[tuple[int, int]], n_shards: int) -> list[tuple[int,
             heapq.heapreplace(loads, (load + many * size, k))
             got[k] += many
             left -= many
-        out.append((size, n, got))
-    return out
+        yield size, n, got
+
+
+def _classes(groups: DataFrame, n_shards: int) -> DataFrame:
+    """(group_size, class_groups, pieces, ends) of groups (group_size, ...): how many groups of a size the shards up to each one get."""
+    spark = groups.sparkSession
+    histogram = checkpoint(groups.groupBy("group_size").agg(F.count("*").alias("groups")))
+    rows = ((r["group_size"], r["groups"]) for r in histogram.orderBy(F.desc("group_size")).toLocalIterator())
+    dealt, folder, small = deal(rows, n_shards), None, None
+    schema = pa.schema([("group_size", pa.int64()), ("class_groups", pa.int64()), ("pieces", pa.int64()), ("ends", pa.list_(pa.int64()))])
+    while chunk := list(islice(dealt, CLASSES)):
+        ends = []
+        for _, _, got in chunk:
+            at, own = 0, []
+            for g in got:
+                own.append(at := at + g)
+            ends.append(own)
+        sizes, many = [c[0] for c in chunk], [c[1] for c in chunk]
+        part = spark.createDataFrame(pa.table([pa.array(sizes, pa.int64()), pa.array(many, pa.int64()), pa.array([-(-n // PIECE_ROWS) for n in many], pa.int64()), pa.array(ends, pa.list_(pa.int64()))], schema=schema))
+        if folder is None and len(chunk) < CLASSES:
+            small = part
+            break
+        folder = folder or f"{shared_folder(spark)}/classes-{uuid.uuid4().hex}"
+        part.write.mode("append").parquet(folder)
+    if folder is not None:
+        return spark.read.parquet(folder)
+    return F.broadcast(small if small is not None else spark.createDataFrame([], "group_size long, class_groups long, pieces long, ends array<long>"))
 
 
 def assign(items: DataFrame, n_shards: int) -> DataFrame:
     """items (key, size, ...; rows of one key are a group) with `shard` and `slot`, the row's number in its shard from 0.
 
     key: a non-null value that rows of a group share; size: a positive long. Groups of any size stay whole; repeated
-    rows are rows of their own. An empty table stays empty. Columns named shard or slot are replaced.
+    rows are rows of their own; groups of one size go to shards, and rows within a shard to slots, in the order of hashes
+    and keys. An empty table stays empty. Columns named shard or slot are replaced.
     """
     items = checkpoint(items.drop("shard", "slot"))
-    spark, total = items.sparkSession, items.count()
+    total = items.count()
     groups = checkpoint(items.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("group_size")))
-    histogram = groups.groupBy("group_size").agg(F.count("*").alias("groups")).toPandas()
-    classes = []
-    for size, n, got in deal(zip(histogram["group_size"].tolist(), histogram["groups"].tolist(), strict=True), n_shards):
-        ends, at = [], 0
-        for g in got:
-            ends.append(at := at + g)
-        classes.append((size, n, -(-n // PIECE_ROWS), ends))
-    schema = "group_size long, class_groups long, pieces long, ends array<long>"
-    by_class = spark.createDataFrame(pd.DataFrame(classes, columns=["group_size", "class_groups", "pieces", "ends"]), schema) if classes else spark.createDataFrame([], schema)
-    if len(classes) <= BROADCAST_CLASSES:
-        by_class = F.broadcast(by_class)
+    by_class = _classes(groups, n_shards)
     sized = groups.join(by_class, "group_size").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")))
     before = Window.partitionBy("group_size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized.groupBy("group_size", "piece").agg(F.count("*").alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
@@ -97,7 +114,8 @@ def assign(items: DataFrame, n_shards: int) -> DataFrame:
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text, ...).
 
-    size: UTF-8 bytes and 1. Equal texts stay together, null texts too, apart from empty ones. A null text has crc 0.
+    size: UTF-8 bytes and 1, of texts of any length. Equal texts stay together, null texts too, apart from empty ones. A null
+    text has crc 0. Repeated rows have slots of their own; an empty table gives no rows.
     The law is `bytes`; grown_shard is null, for LPT moves many groups when a shard is added. Other columns are ignored.
     """
     text = F.col("text").cast("string")
