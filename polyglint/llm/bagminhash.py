@@ -36,8 +36,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Texts of a cluster, and bytes of them, that one task holds as members, and as queries, on average.
 BLOCK_TEXTS, BLOCK_BYTES = 2000, 8 << 20
-#: Words that are sketched at a time, and distinct words a worker remembers.
-CHUNK_WORDS, CACHE = 200_000, 300_000
+#: Words that are sketched at a time, and distinct words and keys of texts that a task remembers.
+CHUNK_WORDS, CACHE, SEEN = 200_000, 300_000, 300_000
 
 _GOLD, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -143,9 +143,26 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return _mix(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(keys, texts) of rows (key, text), few at a time, without those whose key has just come: of a group of copies a task
+    takes up one or so. At most SEEN keys are remembered."""
+    seen: set[bytes] = set()
     for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
-        texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+        keys, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("key", "text"))
+        new = []
+        for k, key in enumerate(keys.to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                new.append(k)
+        if len(seen) > SEEN:
+            seen.clear()
+        if new:
+            at = pa.array(new)
+            yield keys.take(at), [t.encode("utf-8", "replace") for t in texts.take(at).to_pylist()]
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, texts in _fresh(batches):
         at = 0
         while at < len(texts):
             end, size = at, 0
@@ -154,15 +171,14 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end += 1
             doc, shingle, weight = Bags.of(texts[at:end])
             found = bands(sketch(doc, shingle, weight, end - at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["key", "buckets"])
+            yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["key", "buckets"])
             at = end
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to (key, bytes of the text, compressed text): it travels several times."""
-    for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
-        texts = [t.encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array([len(t) for t in texts], pa.int64()), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())], ["key", "size", "text"])
+    for keys, texts in _fresh(batches):
+        yield pa.RecordBatch.from_arrays([keys, pa.array([len(t) for t in texts], pa.int64()), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())], ["key", "size", "text"])
 
 
 def overlap(a: bytes, b: bytes, similarity: Fraction = SIMILARITY, known: dict | None = None) -> bool:
@@ -250,8 +266,8 @@ def links(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     met = heavy_join(members, sizes, ["bucket"], "rows", total).groupBy("key").agg(F.sum("rows").alias("met"))
     pivots = members.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("best"), F.count("*").alias("rows")).select("bucket", F.col("best.key").alias("pivot"), "rows")
     pairs = checkpoint(heavy_join(members, pivots, ["bucket"], "rows", total).where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
-    texts = docs.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    texts = checkpoint(texts.mapInArrow(_squeezed, "key binary, size long, text binary"))
+    texts = docs.mapInArrow(_squeezed, "key binary, size long, text binary")
+    texts = checkpoint(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     del members, sizes, met, pivots
     release(docs.sparkSession)
     side = lambda end: texts.select(F.col("key").alias(end), F.col("text").alias(f"t{end}"))
@@ -293,7 +309,8 @@ def classes(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
 
     Rows are of one class if their texts are equal or connected by a chain of texts that are each similar to the next.
     class_id is the least doc_id of the class. Null texts and those without a word have null keys and are classes of
-    their own. Repeated rows share a class. Other columns are ignored; an empty table gives no rows.
+    their own. Repeated rows share a class. Texts of any length are compared whole; ties need no rule, for the least id names
+    a class. Other columns are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), content_key().alias("key"))
     label = links(keyed.where("key IS NOT NULL").select("key", "text"), similarity)
