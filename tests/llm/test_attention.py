@@ -139,7 +139,7 @@ def test_everything_is_counted_and_every_text_is_learnt_from(spark, monkeypatch)
     # more texts than a sample would take, and what stands late in a long one
     rows = [(i, f"the and {i}") for i in range(1, 900)] + [(900, "the " * 3_000 + "qq " * 3_000)] + [(901, "an")] * 50 + [(902, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(A, "TRAINER_WINDOWS", 200)
+    monkeypatch.setattr(A, "TRAINER_WINDOWS", 20)
     monkeypatch.setattr(A, "MEANS", 2)
     pairs = []
     monkeypatch.setattr(A, "direct", lambda p, real=A.direct: pairs.append(p) or real(p))

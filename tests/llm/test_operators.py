@@ -20,17 +20,19 @@ def test_deal_is_lpt(seed):
     sizes = [rng.choice([1, 1, 2, 3, rng.randrange(1, 400)]) for _ in range(rng.randrange(0, 300))]
     n = rng.randrange(1, 9)
     loads = [0] * n
-    for size, many, got in sharding.deal(Counter(sizes).items(), n):
+    for size, many, got in sharding.deal(sorted(Counter(sizes).items(), reverse=True), n):
         assert sum(got) == many
         loads = [x + size * g for x, g in zip(loads, got)]
     assert sorted(loads) == lpt(sizes, n)
 
 
-def test_shards_keep_groups_whole(spark, monkeypatch):
+@pytest.mark.parametrize("classes", [5, 100_000])
+def test_shards_keep_groups_whole(spark, monkeypatch, classes):
     monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
+    monkeypatch.setattr(sharding, "CLASSES", classes)
     rng = random.Random(1)
     texts = [None, "", "x"] + ["t" * rng.randrange(1, 40) + str(k) for k in range(60)]
-    rows = [(i, rng.choice(texts), "s") for i in range(300)] + [(5, "x", "s"), (5, "x", "s"), (None, None, "s")]
+    rows = [(i, rng.choice(texts), "s") for i in range(300)] + [(5, "x", "s"), (5, "x", "s"), (None, None, "s"), (400, "long " * 40_000, "s")]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, shard string")).collect()
     by_text = dict(zip([r[0] for r in rows], [r[1] for r in rows]))
     assert len(got) == len(rows)
@@ -228,6 +230,86 @@ def test_contradicting_slots_cut(item, text, least):
     assert [(doc, share, verbatim) for doc, _, _, share, verbatim in got] == [(0, 1, False)] * least
 
 
+def plain_tokens(text):
+    """(literal word, template token, slot) of each word of a text, by the rules one at a time."""
+    words, out, first, number = templates._JOINT.sub(" ", text).split(), [], True, False
+    for raw in words:
+        bare = raw.strip(templates._EDGE)
+        kind, literal = None, bare.lower()
+        if bare and templates._NUMBER.fullmatch(bare):
+            kind = "<num>"
+        elif literal in templates.UNITS:
+            kind = "<unit>" if number else None
+        elif bare[:1].isupper() and not bare.isupper() and not first:
+            kind = "<name>"
+        number = kind == "<num>"
+        out.append((literal, kind or literal, kind is not None))
+        first = raw.rstrip("\"')]}»”’*_")[-1:] in (".", "!", "?", ":", "…")
+    return out
+
+
+def plain_leaks(text, item):
+    """Places of the item that the text covers, by comparing every window with every other."""
+    a, b = plain_tokens(text), plain_tokens(item)
+    shifts = defaultdict(set)
+    for size in {templates.WINDOW, len(b)} if len(b) < templates.WINDOW else {templates.WINDOW}:
+        for j in range(len(b) - size + 1):
+            own = b[j : j + size]
+            enough = sum(not x[2] for x in own) >= min(templates.MIN_LITERALS, size - 1)
+            whole = size < templates.WINDOW
+            for i in range(len(a) - size + 1):
+                other = a[i : i + size]
+                # enough literals are the same on both sides, if the templates are
+                by_template = (not whole or size >= templates.MIN_ITEM) and enough and [x[1] for x in own] == [x[1] for x in other]
+                word_by_word = (whole or not enough) and [x[0] for x in own] == [x[0] for x in other]
+                if by_template or word_by_word:
+                    shifts[i - j].update(range(j, j + size))
+    covered = set()
+    for shift, places in shifts.items():
+        runs = [[]]
+        for j in sorted(places):
+            if runs[-1] and j != runs[-1][-1] + 1:
+                runs.append([])
+            runs[-1].append(j)
+        for run in runs:
+            least = min(templates.MIN_ITEM, len(run))
+            same = [not b[j][2] or b[j][0] == a[j + shift][0] for j in run]
+            # stretches of equal words
+            for k in range(len(run)):
+                for end in range(k + least, len(run) + 1):
+                    if all(same[k:end]):
+                        covered.update(run[k:end])
+            # pieces without contradiction, each as long as it can be from where the last one ended
+            begin, pairs = 0, []
+            for k in range(len(run) + 1):
+                pair = (b[run[k]][0], a[run[k] + shift][0]) if k < len(run) and b[run[k]][2] else None
+                if k == len(run) or pair and any((x == pair[0]) != (y == pair[1]) for x, y in pairs):
+                    if k - begin >= least:
+                        covered.update(run[begin:k])
+                    begin, pairs = k, []
+                if pair:
+                    pairs.append(pair)
+    return covered if len(covered) >= templates.MIN_TOKENS or len(covered) >= templates.MIN_SHARE * max(1, len(b)) else set()
+
+
+def test_leaks_are_those_of_a_plain_search(spark):
+    rng = random.Random(11)
+    words = ["the", "red", "box", "of", "a", "is", "how", "far", "Tom", "Ada", "Eva", "3", "12", "5kg", "km", "hours", "so.", "Then", "$7", "IBM"]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 5, 7, 12, 20])))) for k in range(25)]
+    docs = []
+    for k in range(120):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12)))]
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(["Tom", "Ada", "Max", "3", "44", "the", "km", "miles"])
+            parts.append(" ".join(own[rng.randrange(2) :]))
+        docs.append((k, " ".join(parts)))
+    got = templates.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i): len(c) for d, t in docs for i, x in items if (c := plain_leaks(t, x))}
+    assert {(r.doc_id, r.item_id): r.n_tokens for r in got.collect()} == want and len(want) > 40
+
+
 def test_templates_in_several_passes(spark, monkeypatch):
     bench = spark.createDataFrame([(k, ITEM.replace("train", f"train{k}x")) for k in range(20)], "item_id long, text string")
     docs = bench.withColumnRenamed("item_id", "doc_id")
