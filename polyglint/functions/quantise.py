@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the largest magnitude of a six-bit weight.
@@ -50,35 +52,16 @@ def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1) - 2 * x @ centroids.T
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Centroids spread by squared distance, then Lloyd's rounds; an empty one moves to the worst-served point."""
-    if len(x) <= k:
-        return np.resize(x, (k, x.shape[1])), 0.0
-    chosen = [x[rng.integers(len(x))]]
-    near = ((x - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        total = near.sum()
-        chosen.append(x[rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))])
-        near = np.minimum(near, ((x - chosen[-1]) ** 2).sum(axis=1))
-    centers, before = np.array(chosen), None
-    for _ in range(rounds):
-        far = distances(x, centers)
-        label = far.argmin(axis=1)
-        if before is not None and (label == before).all():
-            break
-        before = label
-        counts = np.bincount(label, minlength=k)
-        sums = np.stack([np.bincount(label, x[:, j], k) for j in range(x.shape[1])], axis=1)
-        centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
-        empty = np.flatnonzero(counts == 0)
-        centers[empty] = x[np.argsort(-far[np.arange(len(x)), label])[: len(empty)]]
-    return centers, float(distances(x, centers).min(axis=1).mean())
-
-
-def pq_fit(weights: np.ndarray, k: int = 256, d: int = 4, seed: int = 0, restarts: int = 4, rounds: int = 100) -> np.ndarray:
-    """The codebook (k, d) of least error over some restarts."""
+def pq_fit(spark: SparkSession, weights: np.ndarray, k: int = 256, d: int = 4, seed: int = 0, restarts: int = 4, rounds: int = 100) -> np.ndarray:
+    """The codebook (k, d) of least cost over some restarts of k-means; where pieces or clusters are fewer than k, they repeat."""
     x, _ = subvectors(weights, d)
-    return min((kmeans(x, k, rounds, np.random.default_rng(seed + r)) for r in range(restarts)), key=lambda f: f[1])[0]
+    if len(x) <= k:
+        return np.resize(x, (k, d))
+    rows = spark.createDataFrame([(v,) for v in x.tolist()], "v array<double>").select(array_to_vector("v").alias("features")).persist()
+    fits = [KMeans(k=k, seed=seed + r, maxIter=rounds, initMode="k-means||").fit(rows) for r in range(restarts)]
+    rows.unpersist()
+    best = min(fits, key=lambda f: f.summary.trainingCost)
+    return np.resize(np.array(best.clusterCenters()), (k, d))
 
 
 def pq_assign(weights: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +79,22 @@ def pq_snap(weights: np.ndarray, codebook: np.ndarray) -> np.ndarray:
 
 
 def assign(points: DataFrame, centroids: DataFrame, key: str, vector: str = "v") -> DataFrame:
-    """(key, centroid_id, dist): the nearest of a bounded codebook (centroid_id, c); ties go to the lower id."""
+    """points with centroid_id and dist: the nearest of a bounded codebook (centroid_id, c); ties go to the lower id."""
     book = F.broadcast(centroids.agg(F.sort_array(F.collect_list(F.struct("centroid_id", "c"))).alias("book")))
     gap = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     all_ = F.transform("book", lambda b: F.struct(gap(b["c"]).alias("dist"), b["centroid_id"].alias("centroid_id")))
-    return points.crossJoin(book).select(key, F.array_min(all_).alias("best")).select(key, "best.centroid_id", F.col("best.dist").alias("dist"))
+    return points.crossJoin(book).select(key, vector, F.array_min(all_).alias("best")).select(key, vector, "best.centroid_id", F.col("best.dist").alias("dist"))
+
+
+def lloyd(points: DataFrame, centroids: DataFrame, key: str, vector: str = "v") -> DataFrame:
+    """(centroid_id, c, n, mse): one round of k-means. A centroid moves to the mean of its n points; the empty ones, in order,
+    move to the points that are served worst (ties: the lower key). mse: the points' mean squared distance before the move."""
+    found = assign(points, centroids, key, vector)
+    means = found.select("centroid_id", F.posexplode(vector).alias("i", "x")).groupBy("centroid_id", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    means = means.groupBy("centroid_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n"))
+    # both sides are bounded by the size of the codebook
+    empty = centroids.select("centroid_id").join(means, "centroid_id", "left_anti").withColumn("turn", F.row_number().over(Window.orderBy("centroid_id")))
+    many = centroids.count()
+    worst = found.orderBy(F.desc("dist"), key).limit(many).withColumn("turn", F.row_number().over(Window.orderBy(F.desc("dist"), key)))
+    moved = empty.join(worst.select("turn", F.col(vector).alias("c")), "turn").select("centroid_id", "c", F.lit(0).cast("long").alias("n"))
+    return means.unionByName(moved).crossJoin(F.broadcast(found.agg(F.avg("dist").alias("mse"))))

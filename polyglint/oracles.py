@@ -163,6 +163,17 @@ ORACLES: dict[str, str] = {
     "seed_average": f"WITH {MODEL} SELECT lang_idx, idx, avg(w + seed) AS w, count(*) AS seeds FROM weights, range(3) AS r(seed) GROUP BY ALL",
     "prefix_sharing_stats": f"WITH {MODEL}, p AS (SELECT n, hex(encode(gram)) AS a, hex(encode(coalesce(lag(gram) OVER (PARTITION BY n ORDER BY gram), ''))) AS b FROM vocab), s AS (SELECT n, a, {_SHARED} AS shared FROM p) SELECT n, count(*) AS grams, sum(shared)::BIGINT AS shared, sum(length(a) // 2 - shared)::BIGINT AS rest FROM s GROUP BY n",
     "pq_assign": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y::DOUBLE)))) AS v FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS centroid_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM e a CROSS JOIN e b WHERE b.vec_id < 16), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, centroid_id) AS r FROM d) SELECT vec_id, centroid_id, round(dist, 4) AS dist FROM o WHERE r = 1",
+    "kmeans_step": (
+        "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y::DOUBLE)))) AS v FROM embeddings), "
+        "b AS (SELECT vec_id AS cid, v FROM e WHERE vec_id < 16 UNION ALL SELECT 99, list_transform(v, lambda x: 10.0::DOUBLE) FROM e WHERE vec_id = 0), "
+        "d AS (SELECT a.vec_id, a.v, b.cid, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM e a CROSS JOIN b), "
+        "o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cid) AS r FROM d) WHERE r = 1), "
+        "m AS (SELECT cid, i, avg(v[i]) AS x, count(*) AS n FROM (SELECT cid, v, unnest(range(1, len(v) + 1)) AS i FROM o) GROUP BY ALL), "
+        "g AS (SELECT cid, row_number() OVER (ORDER BY cid) AS turn FROM b WHERE cid NOT IN (SELECT cid FROM o)), "
+        "w AS (SELECT v, row_number() OVER (ORDER BY dist DESC, vec_id) AS turn FROM o), "
+        "c AS (SELECT cid, list(x ORDER BY i) AS c, max(n) AS n FROM m GROUP BY cid UNION ALL SELECT cid, v, 0 FROM g JOIN w USING (turn)) "
+        "SELECT cid AS centroid_id, n::BIGINT AS n, round(c[1], 6) AS first, round(list_sum(list_transform(c, lambda x: x * x)), 6) AS square, round((SELECT avg(dist) FROM o), 6) AS mse FROM c"
+    ),
     "reservoir_sample": f"SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW.format(seed=42, key='doc_id')}, doc_id) AS r FROM documents) WHERE r <= 50",
     "fallback_fill": f"WITH k AS (SELECT conv_id || '-' || turn AS key, role AS lang, text FROM conversations) SELECT key, lang, length(text) >= 40 AS is_long FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (length(text) < 40)::INT, {_DRAW.format(seed=42, key='key')}, key) AS r FROM k) WHERE r <= 100",
     "positional_split": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY lang) * 0.8) AS is_train FROM documents",

@@ -85,12 +85,11 @@ def fit_numpy(texts: list[str], labels: list[str], langs: list[str], vocab: dict
     return _adamw(start, x, np.array([langs.index(v) for v in labels], int), how, epochs, batch, seed, losses=losses)
 
 
-def tune_quantised(model: GroupModel, texts: list[str], labels: list[str], test_texts: list[str], test_labels: list[str], how: Training, epochs: int = 20, k: int = 256, d: int = 4, seed: int = 0) -> tuple[GroupModel, float]:
+def tune_quantised(model: GroupModel, texts: list[str], labels: list[str], test_texts: list[str], test_labels: list[str], how: Training, codebook: np.ndarray, epochs: int = 20, seed: int = 0) -> tuple[GroupModel, float]:
     """Fine-tuning under product quantisation: the forward pass sees snapped weights, the gradient goes to the real ones.
 
-    The codebook is fitted once; the epoch with the best snapped test accuracy (in hundredths) is kept.
+    The codebook stays as it is; the epoch with the best snapped test accuracy (in hundredths) is kept.
     """
-    codebook = pq_fit(model.weights, k, d, seed)
     snap = lambda w: pq_snap(w, codebook)
     x, y = frequency_matrix(texts, model), np.array([model.langs.index(v) for v in labels], int)
     tx, ty = frequency_matrix(test_texts, model), np.array([model.langs.index(v) for v in test_labels], int)
@@ -152,10 +151,10 @@ def fit_groups(rows: DataFrame, groups: dict[str, Group], vocabs: dict[str, dict
 
 def tune_groups(rows: DataFrame, models: dict[str, GroupModel], how: Training, epochs: int = 20, lr: float = 0.001, k: int = 256, d: int = 4, seed: int = 0) -> dict[str, GroupModel]:
     """tune_quantised() for each model, side by side; each one gets its codebook and its snapped accuracy."""
-    how = replace(how, lr=lr)
+    how, books = replace(how, lr=lr), {g: pq_fit(rows.sparkSession, m.weights, k, d, seed) for g, m in models.items()}
 
     def work(name: str, train: pd.DataFrame, test: pd.DataFrame):
-        return tune_quantised(models[name], train["norm"].tolist(), train["lang"].tolist(), test["norm"].tolist(), test["lang"].tolist(), how, epochs, k, d, seed)[0], []
+        return tune_quantised(models[name], train["norm"].tolist(), train["lang"].tolist(), test["norm"].tolist(), test["lang"].tolist(), how, books[name], epochs, seed)[0], []
 
     out = dict(models)
     for r in _by_group(rows, {g: m.langs for g, m in models.items()}, work):

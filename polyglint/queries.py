@@ -250,6 +250,17 @@ def pq_assign(spark, sf_dir):
     return found.select("vec_id", "centroid_id", F.round("dist", 4).alias("dist"))
 
 
+def kmeans_step(spark, sf_dir):
+    """A round of k-means over scaled embeddings from the first 16, and one centroid far off that gets no point."""
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / most).alias("v"))
+    book = rows.where("vec_id < 16").select(F.col("vec_id").alias("centroid_id"), F.col("v").alias("c"))
+    far = book.where("centroid_id = 0").select(F.lit(99).cast("long").alias("centroid_id"), F.transform("c", lambda x: F.lit(10.0)).alias("c"))
+    found = quantise.lloyd(rows, book.unionByName(far), "vec_id")
+    square = F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)
+    return found.select("centroid_id", "n", F.round(F.get("c", F.lit(0)), 6).alias("first"), F.round(square, 6).alias("square"), F.round("mse", 6).alias("mse"))
+
+
 def named_model(docs: DataFrame) -> GroupModel:
     """The count model with the languages' three-letter codes."""
     model = count_model(docs)
@@ -342,10 +353,10 @@ def detect_trained(spark, sf_dir):
 
 #: A small experiment of the registered query: a wide model, pruned to half, tuned under product quantisation.
 SMALL = {
-    "wide": {"langs": {"latin": sorted(CODES.values())}, "sizes": {"latin": (40, 60, 60, 40, 20)}, "epochs": {"latin": 16}, "train": {"label_smoothing": 0.1, "data_limit": 300}},
+    "wide": {"langs": {"latin": sorted(CODES.values())}, "sizes": {"latin": (40, 60, 60, 40, 20)}, "epochs": {"latin": 16}, "train": {"lr": 0.01, "label_smoothing": 0.1, "data_limit": 300}},
     "small": {
         "prune_from": "wide", "seed": 0, "langs": {"latin": sorted(CODES.values())}, "sizes": {"latin": (20, 30, 30, 20, 10)}, "epochs": {"latin": 16},
-        "train": {"label_smoothing": 0.1, "truncate_aug": 0.75, "focal_gamma": 2.0, "data_limit": 300}, "qat_pq": {"groups": ["latin"], "epochs": 2, "lr": 0.001, "k": 32, "d": 4, "seed": 0},
+        "train": {"lr": 0.01, "label_smoothing": 0.1, "truncate_aug": 0.75, "focal_gamma": 2.0, "data_limit": 300}, "qat_pq": {"groups": ["latin"], "epochs": 4, "lr": 0.001, "k": 64, "d": 4, "seed": 0},
     },
 }
 
@@ -361,7 +372,7 @@ def codec_roundtrip(spark, sf_dir):
     model = vocabulary.canonical(trained(spark, sf_dir))
     model = average([model, model])
     rows = []
-    for name, book in (("six bits", None), ("product", quantise.pq_fit(model.weights, 64, 4, 0, 1, 20))):
+    for name, book in (("six bits", None), ("product", quantise.pq_fit(spark, model.weights, 64, 4, 0, 1, 20))):
         m = GroupModel(model.langs, model.vocab, model.weights, model.bias, book)
         data = binary.dumps(m)
         back = binary.loads(data)
@@ -374,7 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         script_profile, script_proportions, dominant_script, literal_detect, tiered_route, normalize_text, top_ngrams_per_lang, html_paragraphs, linear_logits, softmax_probs, detect_topk,
         eval_accuracy_per_lang, eval_overall, imperfect_langs, eval_compare, first_seen_langs, short_text_eval, vocab_coverage, feature_vector_sparse, vocab_roundrobin, importance_prune, int6_quantize,
-        seed_average, prefix_sharing_stats, codec_decoded, pq_assign, reservoir_sample, fallback_fill, positional_split, truncate_aug, train_with_copies, merge_sources, detect_documents,
+        seed_average, prefix_sharing_stats, codec_decoded, pq_assign, kmeans_step, reservoir_sample, fallback_fill, positional_split, truncate_aug, train_with_copies, merge_sources, detect_documents,
         detect_all_languages, detect_tiered_documents, detect_trained, run_experiment, codec_roundtrip,
     )
 } | {f"ngram_freq_{n}": ngram_freq(n) for n in (1, 2, 3, 4, 5)}

@@ -102,7 +102,7 @@ def test_round_robin(spark):
     assert vocabulary.round_robin(counts, ["A", "B"], {1: 9}) == {1: ["x", "w", "y", "z"]}
 
 
-def test_codecs():
+def test_codecs(spark):
     assert quantise.pack6(np.array([-31, 0, 31, 1])).hex() == "01ffa0"
     assert binary.encode_grams(["b", "abc", "ab"]).hex() == "02616221630162"
     for n in range(9):
@@ -111,7 +111,7 @@ def test_codecs():
     back = binary.loads(binary.dumps(TINY))
     assert (back.langs, back.features) == (TINY.langs, vocabulary.canonical(TINY).features)
     assert np.abs(back.weights - vocabulary.canonical(TINY).weights).max() < 0.2
-    book = quantise.pq_fit(TINY.weights, 4, 2, 0)
+    book = quantise.pq_fit(spark, TINY.weights, 4, 2, 0)
     tuned = vocabulary.canonical(M.GroupModel(TINY.langs, TINY.vocab, TINY.weights, TINY.bias, book))
     assert np.allclose(binary.loads(binary.dumps(tuned)).weights, quantise.pq_snap(tuned.weights, book), atol=1e-5)
     with pytest.raises(ValueError, match="too long"):
@@ -119,7 +119,7 @@ def test_codecs():
 
 
 def test_model_tables(spark, tmp_path):
-    tuned = M.GroupModel(TINY.langs, TINY.vocab, TINY.weights, TINY.bias, quantise.pq_fit(TINY.weights, 4, 2, 0), 87.5)
+    tuned = M.GroupModel(TINY.langs, TINY.vocab, TINY.weights, TINY.bias, quantise.pq_fit(spark, TINY.weights, 4, 2, 0), 87.5)
     M.save(spark, {"latin": TINY, "arabic": tuned}, str(tmp_path))
     loaded = M.load(spark, str(tmp_path))
     back = loaded["latin"]
@@ -153,7 +153,7 @@ def test_training(spark):
     for m in (fitted["latin"], trainer.fit_mllib(frame, sorted(words), vocab)):
         x = scoring.frequency_matrix([t for _, t in rows], m) @ m.weights.T + m.bias
         assert np.mean([m.langs[k] == a for k, (a, _) in zip(x.argmax(axis=1), rows)]) > 0.95
-    tuned, rate = trainer.tune_quantised(m, *zip(*[(t, a) for a, t in rows[::2]]), *zip(*[(t, a) for a, t in rows[1::2]]), how, epochs=2, k=8, d=2)
+    tuned, rate = trainer.tune_quantised(m, *zip(*[(t, a) for a, t in rows[::2]]), *zip(*[(t, a) for a, t in rows[1::2]]), how, quantise.pq_fit(spark, m.weights, 8, 2), epochs=2)
     assert rate > 90 and tuned.codebook.shape == (8, 2)
 
 
