@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZES = (1, 2, 3, 4, 5)
-#: Characters that are counted at a time.
-BATCH_CHARS = 1 << 20
+#: Characters that are counted at a time; up to so many different numbers are counted in a table instead of by sorting.
+BATCH_CHARS, DENSE = 1 << 20, 1 << 22
 
 
 def characters(text: Column | str) -> Column:
@@ -60,12 +60,12 @@ def count_grams(texts: list[str], groups: np.ndarray, sizes=SIZES) -> Iterator[t
     alphabet, letters = np.unique(codes, return_inverse=True)
     base, owner = len(alphabet) + 1, np.repeat(np.asarray(groups, np.int64), np.diff(starts))
     # a number for each place's n-gram; ranks keep it small where the base's power would not fit
-    number, most = letters.astype(np.int64), base
+    number, most, plain = letters.astype(np.int64), base, True
     for n in range(1, max(sizes) + 1):
         if n > 1:
             if most >= (1 << 62) // base:
                 ranks, number = np.unique(number, return_inverse=True)
-                most = len(ranks)
+                most, plain = len(ranks), False
             number = number[:-1] * base + letters[n - 1 :] if len(number) else number
             most *= base
         if n not in sizes:
@@ -73,9 +73,17 @@ def count_grams(texts: list[str], groups: np.ndarray, sizes=SIZES) -> Iterator[t
         at = inner(starts, n)
         if not len(at):
             continue
-        if most >= (1 << 62) // (int(owner.max()) + 1):
+        many = int(owner.max()) + 1
+        if plain and most * many <= DENSE:
+            count = np.bincount(owner[at] * most + number[at], minlength=most * many)
+            key = np.flatnonzero(count)
+            places = alphabet[(key[:, None] % most) // base ** np.arange(n - 1, -1, -1) % base]
+            flat = places.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            yield n, key // most, [flat[i : i + n] for i in range(0, len(flat), n)], count[key]
+            continue
+        if most >= (1 << 62) // many:
             ranks, number = np.unique(number, return_inverse=True)
-            most = len(ranks)
+            most, plain = len(ranks), False
         key, first, count = np.unique(owner[at] * most + number[at], return_index=True, return_counts=True)
         at = at[first]
         flat = codes[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le", "surrogatepass")
@@ -144,10 +152,13 @@ class GramTable:
         for k, g in enumerate(vocab):
             if g:
                 place.setdefault(g, k)
-        self.tables = {}
+        self.tables, self.dense = {}, {}
         for n in self.sizes:
             own = sorted((sum(int(self.letter[ord(c)]) * self.base ** (n - 1 - i) for i, c in enumerate(g)), k) for g, k in place.items() if len(g) == n)
             self.tables[n] = np.array([x for x, _ in own], np.int64), np.array([k for _, k in own], np.int64)
+            if self.base**n <= DENSE:
+                self.dense[n] = np.full(self.base**n, -1, np.int32)
+                self.dense[n][self.tables[n][0]] = self.tables[n][1]
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, count) of the n-grams of the vocabulary that occur, in order."""
@@ -165,8 +176,19 @@ class GramTable:
             bad = np.concatenate([[0], np.cumsum(letters == 0)])
             at = inner(starts, n)
             at = at[bad[at + n] == bad[at]]
+            if n in self.dense:
+                place = self.dense[n][number[at]]
+                hit = place >= 0
+                keys.append(owner[at[hit]] * self.size + place[hit])
+                continue
             found = np.minimum(np.searchsorted(known, number[at]), len(known) - 1)
             hit = known[found] == number[at]
             keys.append(owner[at[hit]] * self.size + places[found[hit]])
-        key, count = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+        keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        if len(texts) * self.size <= DENSE:
+            count = np.bincount(keys, minlength=1)
+            key = np.flatnonzero(count)
+            count = count[key]
+        else:
+            key, count = np.unique(keys, return_counts=True)
         return key // max(1, self.size), key % max(1, self.size), count

@@ -193,6 +193,14 @@ def test_sources(spark, tmp_path):
     got = corpora.merged(spark, str(tmp_path), ["eng", "por", "est"], limit=1).orderBy("source_ord").collect()
     assert [(r["lang"], r["text"]) for r in got] == [("eng", long), ("por", "Todos os seres humanos"), ("est", "Tere hommikust kõigile")]
     assert corpora.merged(spark, str(tmp_path / "none"), ["eng"]).count() == 0
+    assert len(corpora.DECLARATION_CODES) == 48 and len(set(corpora.DECLARATION_CODES.values())) == 46 and len(corpora.NEWS) == 9
+    for code in ("por_PT", "srp_latn", "eng", "zzz"):
+        (tmp_path / f"udhr/declaration/{code}.html").write_text(f"<p>paragraph of {code}</p>")
+    got = corpora.declarations(spark, str(tmp_path / "udhr/declaration"), ["por", "srp", "eng"]).collect()
+    assert sorted((r["lang"], r["text"]) for r in got) == [("eng", "paragraph of eng"), ("por", "Todos os seres humanos"), ("por", "paragraph of por_PT"), ("srp", "paragraph of srp_latn")]
+    many = tmp_path / f"leipzig/{name}/{name}-sentences.txt"
+    many.write_text("".join(f"{k}\tsentence number {k}\n" for k in range(60)))
+    assert corpora.news(spark, str(tmp_path / "leipzig"), ["est", "eng"], limit=20).count() == 20
 
 
 def test_samples_and_accuracy(spark):
@@ -219,6 +227,32 @@ def test_stream_scores_like_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("found").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_counts_by_window(spark, tmp_path):
+    from polyglint.streaming.detection import detect_stream, languages_by_window
+
+    rows = [("the cat", "2024-01-01 00:01:00"), ("the the", "2024-01-01 00:02:00"), ("日本語です", "2024-01-01 00:04:59"), ("the", "2024-01-01 00:06:00")]
+    docs = spark.createDataFrame(rows, "text string, at string").select("text", F.col("at").cast("timestamp").alias("at"))
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = languages_by_window(detect_stream(spark.readStream.schema("text string, at timestamp").parquet(str(tmp_path / "in")), {"latin": TINY}), "at")
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = sorted((r["window"]["start"].minute, r["lang_pred"], r["n"]) for r in spark.table("windows").collect())
+    want = sorted((r["m"], r["lang_pred"], r["n"]) for r in detect_stream(docs, {"latin": TINY}).groupBy((F.floor(F.minute("at") / 5) * 5).alias("m"), "lang_pred").agg(F.count("*").alias("n")).collect())
+    assert got == want and (0, "jpn", 1) in got
+
+
+def test_models_from_files(spark, tmp_path):
+    """Compact files by path and by URL, and model tables, all give the same detections."""
+    (tmp_path / "latin.bin").write_bytes(binary.dumps(TINY))
+    M.save(spark, {"latin": binary.loads(binary.dumps(TINY))}, str(tmp_path / "tables"))
+    found = [create(spark, source).initialize().detect("the thé") for source in ({"latin": str(tmp_path / "latin.bin")}, {"latin": f"file://{tmp_path}/latin.bin"}, str(tmp_path / "tables"))]
+    assert found[0] == found[1] and [x for x, _ in found[0]] == [x for x, _ in found[2]] and found[0][0][1] == pytest.approx(found[2][0][1])
+    data = bytearray(binary.dumps(TINY))
+    data[2] = 99  # any mark but that of product quantisation is read as six bits
+    assert np.allclose(binary.loads(bytes(data)).weights, binary.loads(binary.dumps(TINY)).weights)
+
+
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
