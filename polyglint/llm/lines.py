@@ -18,12 +18,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     not white space. Of the occurrences of a window anywhere the first stays, by doc_id (null first), then the text's
     digest, then position; the lines of all others go, so windows that overlap themselves go too. Everything is judged on
     the input. Rows with one doc_id and one text are one occurrence and fare alike. Texts of fewer than three lines and
-    null texts (n_lines 0) stay as they are; a text that loses all its lines becomes empty. Texts of any length are taken whole. Columns named n_lines or n_removed are
-    replaced, all others stay; an empty table gives no rows.
+    null texts (n_lines 0) stay as they are; a text that loses all its lines becomes empty. Texts of any length are
+    taken whole. Columns named n_lines or n_removed are replaced, all others stay; an empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     seed, lines, gone, key, n, other = (plain_name(docs, c) for c in ("__digest", "__lines", "__gone", "__window", "__n", "__id"))
-    keyed = docs.select(*own, F.unhex(F.md5(F.col("text").cast("binary"))).alias(seed), F.split("text", "\n").alias(lines))
+    # the lines are cut again after the join below, so that only texts travel
+    base = docs.select(*own, F.unhex(F.md5(F.col("text").cast("binary"))).alias(seed))
+    keyed = base.select("doc_id", seed, F.split("text", "\n").alias(lines))
     at = [F.element_at(lines, F.col("__i") + k) for k in range(1, SPAN + 1)]
     places = F.when(F.size(lines) >= SPAN, F.sequence(F.lit(0), F.size(lines) - SPAN))
     windows = (
@@ -38,7 +40,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     later = heavy_join(windows, first, [key], n, windows.count()).where(~F.struct("__doc", "__i").eqNullSafe(F.col("__first")))
     cover = F.flatten(F.collect_set(F.array(*[F.col("__i") + k for k in range(SPAN)])))
     removed = later.groupBy("__doc").agg(F.array_distinct(cover).alias(gone)).select(F.col(f"__doc.{seed}").alias(seed), F.col("__doc.doc_id").alias(other), gone)
-    joined = keyed.join(removed, (keyed[seed] == removed[seed]) & keyed["doc_id"].eqNullSafe(removed[other]), "left").drop(removed[seed]).drop(other)
+    joined = base.join(removed, (base[seed] == removed[seed]) & base["doc_id"].eqNullSafe(removed[other]), "left").drop(removed[seed]).drop(other)
+    joined = joined.withColumn(lines, F.split("text", "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.element_at(F.col(lines), i + 1))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
     return joined.select(
