@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import normalize
+
 SIZES = (1, 2, 3, 4, 5)
 #: Characters that are counted at a time; up to so many different numbers are counted in a table instead of by sorting.
 BATCH_CHARS, DENSE = 1 << 20, 1 << 22
@@ -121,6 +123,39 @@ def frequencies(docs: DataFrame, keep: list[str], n: int, text: str = "norm") ->
     return docs.select(*keep, F.col(text)).mapInArrow(count, f"{kept_schema(docs, keep)}, gram string, cnt long, freq double")
 
 
+DATUM = "map<int,array<struct<gram:string,cnt:bigint,freq:double>>>"
+
+
+def data(docs: DataFrame, keep: list[str], text: str = "text", sizes=SIZES) -> DataFrame:
+    """(keep..., norm, ngrams): a row's normalised text, and by size its n-grams with counts and shares, in one value.
+
+    A size that the text is too short for has an empty list; null texts count as empty. Rows stay where they are.
+    """
+    sizes = sorted(sizes)
+    kind = pa.struct([("gram", pa.string()), ("cnt", pa.int64()), ("freq", pa.float64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batched(batches, len(keep)):
+            cell, names, many, share = [], [], [], []
+            lengths = np.array([len(t) for t in texts], np.int64)
+            for n, row, found, own in count_grams(texts, np.arange(len(texts)), sizes):
+                cell.append(row * len(sizes) + sizes.index(n))
+                names += found
+                many.append(own)
+                share.append(own / (lengths[row] - n + 1))
+            cell, many, share = (np.concatenate(x) if x else np.empty(0) for x in (cell, many, share))
+            order = np.argsort(cell, kind="stable")
+            grams = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(many.astype(np.int64)), pa.array(share.astype(np.float64))], fields=list(kind)).take(pa.array(order))
+            cuts = np.searchsorted(cell[order], np.arange(len(texts) * len(sizes) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), grams)
+            keys = pa.array(np.tile(sizes, len(texts)), pa.int32())
+            maps = pa.MapArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(sizes), pa.int32()), keys, lists)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(texts, pa.string()), maps], [*keep, "norm", "ngrams"])
+
+    rows = docs.select(*keep, F.coalesce(normalize(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit("")).alias("norm"))
+    return rows.mapInArrow(count, f"{kept_schema(docs, keep)}, norm string, ngrams {DATUM}")
+
+
 def group_counts(docs: DataFrame, group: str, text: str = "norm", sizes=SIZES) -> DataFrame:
     """(group, n, gram, cnt): counts over all rows of a group (a string), summed within batches before the shuffle."""
 

@@ -140,6 +140,7 @@ ORACLES: dict[str, str] = {
     "tiered_route": f"WITH {TEXTS} SELECT doc_id, {_ROUTE} AS route FROM texts",
     "normalize_text": f"WITH {TEXTS}, r AS (SELECT 'documents' AS tbl, doc_id, 0::BIGINT AS part, {_norm('text')} AS norm FROM texts UNION ALL SELECT 'conversations', conv_id, turn, {_norm('text')} FROM conversations) SELECT tbl, doc_id, part, md5(norm) AS norm_md5, length(norm) AS n_chars FROM r",
     "top_ngrams_per_lang": f"WITH {_ngrams('documents')}, {COUNTS}, {TOP} SELECT lang, n, gram, cnt, rank FROM ranked WHERE rank <= 20",
+    "datum_view": f"WITH {_ngrams('documents')}, g AS (SELECT doc_id, n, gram, count(*) AS cnt, max(many) AS many FROM grams GROUP BY ALL), s AS (SELECT doc_id, n, count(*) AS grams, sum(cnt)::BIGINT AS total, max(cnt / many) AS most FROM g GROUP BY ALL), k AS (SELECT doc_id, length(norm) AS n_chars, unnest([1, 2, 3, 4, 5]) AS n FROM grams_n) SELECT doc_id, n_chars, n::BIGINT AS n, coalesce(grams, 0) AS grams, coalesce(total, 0) AS total, round(coalesce(most, 0), 9) AS most FROM k LEFT JOIN s USING (doc_id, n)",
     "html_paragraphs": f"WITH r AS ({_PARAGRAPHS}) SELECT page_id, lang, i - 1 AS pos, md5(ps[i]) AS paragraph_md5 FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM r)",
     "linear_logits": f"WITH {LOGITS} SELECT doc_id, lang, round(logit, 6) AS logit FROM logits",
     "softmax_probs": f"WITH {LOGITS} SELECT doc_id, lang, round(p, 6) AS probability FROM best",

@@ -86,6 +86,14 @@ def ngram_freq(n: int) -> Callable:
     return query
 
 
+def datum_view(spark, sf_dir):
+    """Each document as a training datum, summed up by size: distinct n-grams, all of them, and the largest share."""
+    rows = ngrams.data(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", F.length("norm").cast("long").alias("n_chars"), F.explode("ngrams").alias("n", "grams"))
+    most = F.coalesce(F.array_max(F.transform("grams", lambda g: g["freq"])), F.lit(0.0))
+    total = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + g["cnt"])
+    return rows.select("doc_id", "n_chars", F.col("n").cast("long").alias("n"), F.size("grams").cast("long").alias("grams"), total.alias("total"), F.round(most, 9).alias("most"))
+
+
 def top_ngrams_per_lang(spark, sf_dir):
     counts = vocabulary.corpus_counts(normed(spark, sf_dir))
     return vocabulary.top_grams(counts, 20).select("lang", "n", "gram", "cnt", F.col("rank").cast("long").alias("rank"))
@@ -383,7 +391,7 @@ def codec_roundtrip(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        script_profile, script_proportions, dominant_script, literal_detect, tiered_route, normalize_text, top_ngrams_per_lang, html_paragraphs, linear_logits, softmax_probs, detect_topk,
+        script_profile, script_proportions, dominant_script, literal_detect, tiered_route, normalize_text, datum_view, top_ngrams_per_lang, html_paragraphs, linear_logits, softmax_probs, detect_topk,
         eval_accuracy_per_lang, eval_overall, imperfect_langs, eval_compare, first_seen_langs, short_text_eval, vocab_coverage, feature_vector_sparse, vocab_roundrobin, importance_prune, int6_quantize,
         seed_average, prefix_sharing_stats, codec_decoded, pq_assign, kmeans_step, reservoir_sample, fallback_fill, positional_split, truncate_aug, train_with_copies, merge_sources, detect_documents,
         detect_all_languages, detect_tiered_documents, detect_trained, run_experiment, codec_roundtrip,

@@ -95,6 +95,14 @@ def test_gram_kernels_match_plain_counts():
     assert found == {(k, vocab.index(g)): c for k, t in enumerate(texts) for g in set(vocab) - {""} if (c := sum(t.startswith(g, i) for i in range(len(t))))}
 
 
+def test_datum(spark):
+    rows = ngrams.data(spark.createDataFrame([(1, "Ab-a!"), (2, None), (3, "")], "id long, text string"), ["id"]).collect()
+    got = {r["id"]: (r["norm"], {n: [(g["gram"], g["cnt"]) for g in own] for n, own in r["ngrams"].items()}) for r in rows}
+    assert got[1][0] == " ab a " and sorted(got[1][1][1]) == [(" ", 3), ("a", 2), ("b", 1)] and len(got[1][1][5]) == 2
+    assert got[2] == got[3] == ("  ", {1: [(" ", 2)], 2: [("  ", 1)], 3: [], 4: [], 5: []})
+    assert all(sum(g["freq"] for g in own) == pytest.approx(1) for r in rows for own in r["ngrams"].values() if own)
+
+
 def test_round_robin(spark):
     counts = spark.createDataFrame([("A", 1, "x", 9), ("A", 1, "y", 8), ("A", 1, "z", 7), ("B", 1, "x", 9), ("B", 1, "w", 1)], "lang string, n int, gram string, cnt long")
     assert vocabulary.round_robin(counts, ["A", "B"], {1: 3, 2: 5}) == {1: ["x", "w", "y"], 2: []}
