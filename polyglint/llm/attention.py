@@ -23,7 +23,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +43,8 @@ CONTEXT, SCORED, WIDTH = 8, 24, 16
 SPAN = CONTEXT + SCORED
 #: Windows that go through the attention at a time, when scoring and when training.
 BATCH, LESSON = 80, 160
-#: Of each training document every so many-th window is for gradient steps, in rounds, by trainers of so many windows each; so many models are averaged at a time; the rate.
-EVERY, ROUNDS, TRAINER_WINDOWS, MEANS, LEARN = 2, 2, 40_000, 64, 0.01
+#: Of each training document every so many-th window is for gradient steps, in rounds; so many models are averaged at a time; the rate.
+EVERY, ROUNDS, MEANS, LEARN = 2, 2, 64, 0.01
 #: Text of a pack, of what is cut at a time, and in steps of the search for pieces; hashes in one range.
 PACK_BYTES, TEXT_BYTES, CHUNK, RANGE_WORDS = 4 << 20, 1 << 20, 1 << 16, 1_000_000
 #: The remainder of crc32(doc_id) modulo FOLDS that is held out, by contract.
@@ -291,17 +290,6 @@ class Taken(NamedTuple):
     real: np.ndarray
     first: np.ndarray
 
-    def packed(self) -> bytes:
-        """Compressed inputs, last targets, numbers of real targets, which come first, and flags: all else follows from them."""
-        parts = [self.inputs, self.targets[:, -1:], self.real.sum(axis=1, dtype=np.uint8)[:, None], self.first.astype(np.uint8)[:, None]]
-        return zstandard.compress(np.concatenate(parts, axis=1).tobytes(), 1)
-
-    @classmethod
-    def unpacked(cls, data: bytes) -> Taken:
-        rows = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, SPAN + 3)
-        real = np.arange(SCORED) < rows[:, SPAN + 1 : SPAN + 2]
-        return cls(rows[:, :SPAN], np.where(real, rows[:, CONTEXT + 1 : SPAN + 1], 0), real, rows[:, -1] > 0)
-
     def rows(self, at: np.ndarray) -> Taken:
         return Taken(*(x[at] for x in self))
 
@@ -477,26 +465,48 @@ def useful_pieces(texts: DataFrame, pieces: list[bytes]) -> list[bytes]:
     return choose(used)
 
 
+def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[Taken]:
+    """The windows to learn from of packs: of each text that trains every EVERY-th, the first one by its number of tokens."""
+    for (payload,) in _values(batches, 1):
+        (_, _, train, _, lengths, _), body = thaw(payload)
+        for at, end, ids in _parts(np.frombuffer(body, np.uint8), lengths):
+            windows, own = Windows(ids), train[at:end] > 0
+            taken = np.flatnonzero(own[windows.text] & ((windows.number + ids.sizes[windows.text]) % EVERY == 0))
+            if len(taken):
+                yield windows.taken(taken)
+
+
+def _parts(flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, Ids]]:
+    """Ranges of texts of some TEXT_BYTES ids together, or of one text, with their ids."""
+    cuts, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while at < len(lengths):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TEXT_BYTES, "right")) - 1)
+        yield at, end, Ids(flat[cuts[at] : cuts[end]], lengths[at:end])
+        at = end
+
+
 def trained(packed: DataFrame) -> dict[str, np.ndarray]:
-    """A model from the pairs (kind 5) and lessons (kind 4) of packs. Without any it stays untrained."""
+    """A model from the pairs (kind 5) and ids (kind 0) of packs. Without any it stays untrained.
+
+    Each partition of packs is a trainer, so that no text is moved and trainers grow with the corpus. In each round it takes
+    some of its packs; the models are averaged, by tokens seen, MEANS at a time.
+    """
     context = packed.sparkSession.sparkContext
     pairs = np.zeros(IDS * IDS, np.int64)
     # no more rows than pairs of ids
     for r in packed.where("kind = 5").groupBy("pack").agg(F.sum("bin").alias("n")).collect():
         pairs[r["pack"]] = r["n"]
     model = fresh() | direct(pairs.reshape(IDS, IDS))
-    lessons = packed.where("kind = 4").select("bin", "payload")
-    many = lessons.agg(F.sum("bin")).first()[0] or 0
-    trainers = max(1, many // (ROUNDS * TRAINER_WINDOWS))
+    trainers = packed.rdd.getNumPartitions()
     for k in range(ROUNDS):
         start = context.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, seen = train(start.value, (Taken.unpacked(w) for (w,) in _values(batches, 1)))
+            own, seen = train(start.value, lessons(batches))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(own)], pa.binary())], ["part", "seen", "model"])
 
-        part = lessons.where(F.pmod(F.xxhash64("payload"), F.lit(ROUNDS)) == k).repartition(trainers, F.xxhash64("payload", F.lit(1))).select("payload")
+        part = packed.where((F.col("kind") == 0) & (F.pmod(F.xxhash64("pack"), F.lit(ROUNDS)) == k)).select("payload")
         found, left = part.mapInArrow(learn, "part long, seen long, model binary"), trainers
         while left > MEANS:
             left = -(-left // MEANS)
@@ -527,7 +537,7 @@ def _average(group: pa.Table) -> pa.Table:
 
 def _packer(chosen: list[bytes], ranges: int):
     """(doc_id, held_out, text) to packs of ids (kind 0); by range of hashes, a pack's words with their counts in training
-    (kind 1); windows to learn from (kind 4), with their number; and pairs of ids with their counts in training (kind 5)."""
+    (kind 1); and pairs of ids with their counts in training (kind 5)."""
 
     def emit(pack: int, ids: list[int], held: list[bool], texts: list[bytes], trie: Trie, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
         train = ~np.array(held, bool)
@@ -542,11 +552,6 @@ def _packer(chosen: list[bytes], ranges: int):
             lengths.append(own.sizes)
             before = np.concatenate([[END], own.flat[:-1]]).astype(np.int64)
             pairs += np.bincount((before * IDS + own.flat)[np.repeat(learn, own.sizes)], minlength=IDS * IDS)
-            windows = Windows(own)
-            lesson = windows.taken(np.flatnonzero(learn[windows.text] & ((windows.number + own.sizes[windows.text]) % EVERY == 0)))
-            rows = [lesson.rows(np.arange(a, min(a + 4000, len(lesson.first)))) for a in range(0, len(lesson.first), 4000)]
-            if rows:
-                yield _rows([(4, pack, len(r.first), r.packed()) for r in rows])
         sizes = np.concatenate(sizes)
         hashes, place = np.unique(np.concatenate(hashes), return_inverse=True)
         missing = np.array([i is None for i in ids], np.int64)
@@ -600,8 +605,8 @@ def score(docs: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
 
     Rows whose crc32(doc_id) modulo FOLDS is not HELD_OUT train the model and the base. Texts are lower-cased from A to
     Z; words are what white space parts, then one end. A null text is empty, one token; a null doc_id counts as '' and
-    trains or not by that. Words are told apart by 64 bits of hash. Repeated rows are scored alike, other columns are
-    ignored, and an empty table gives no rows.
+    trains or not by that. Words are told apart by 64 bits of hash. Texts of any length are scored whole, repeated
+    rows alike, other columns are ignored, and an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_rest("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
     total, ends = source.agg(F.sum(F.octet_length("text").cast("long")), F.sum((~F.col("held_out")).cast("long"))).first()
@@ -633,12 +638,7 @@ def _scored(payload: bytes, counts: list[bytes], model: dict, n: int, v: int, en
     logs = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     base = np.bincount(owner, logs[place], size) + np.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
     known = np.bincount(owner, c[place] > 0, size).astype(np.int64) + (ends > 0)
-    flat, cuts, scores = np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum(lengths)]), []
-    at = 0
-    while at < size:
-        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TEXT_BYTES, "right")) - 1)
-        scores.append(log10_scores(model, Ids(flat[cuts[at] : cuts[end]], lengths[at:end])))
-        at = end
+    scores = [log10_scores(model, part) for _, _, part in _parts(np.frombuffer(body, np.uint8), lengths)]
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64(), mask=missing > 0), pa.array(train == 0, pa.bool_()), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(list(repeat(n, size)), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())],
         [c.split()[0] for c in _SCHEMA.split(", ")],
