@@ -42,9 +42,9 @@ PIECE_BYTES, LANE = 5, 64
 CONTEXT, SCORED, WIDTH = 8, 24, 16
 SPAN = CONTEXT + SCORED
 #: Windows that go through the attention at a time, when scoring and when training.
-BATCH, LESSON = 80, 160
-#: Of each training document every so many-th window is for gradient steps, in rounds; so many models are averaged at a time; the rate.
-EVERY, ROUNDS, MEANS, LEARN = 2, 2, 64, 0.01
+BATCH, LESSON = 80, 320
+#: Rounds of training, in each of which a part of the packs is learnt from; models that are averaged at a time; the rate.
+ROUNDS, MEANS, LEARN = 2, 64, 0.01
 #: Text of a pack, of what is cut at a time, and in steps of the search for pieces; hashes in one range.
 PACK_BYTES, TEXT_BYTES, CHUNK, RANGE_WORDS = 4 << 20, 1 << 20, 1 << 16, 1_000_000
 #: The remainder of crc32(doc_id) modulo FOLDS that is held out, by contract.
@@ -301,7 +301,7 @@ _APART = np.maximum(np.arange(SCORED)[:, None] + CONTEXT - np.arange(SPAN)[None]
 class Attention:
     """Masked attention over batches of windows, in buffers that are made once."""
 
-    def __init__(self, model: dict[str, np.ndarray], most: int = BATCH):
+    def __init__(self, model: dict[str, np.ndarray], most: int):
         self.model, kind = model, model["query"].dtype
         self.keys, self.values = np.empty((most, SPAN, WIDTH), kind), np.empty((most, SPAN, WIDTH), kind)
         self.queries, self.context = np.empty((most, SCORED, WIDTH), kind), np.empty((most, SCORED, WIDTH), kind)
@@ -327,7 +327,7 @@ class Attention:
 
 def log10_scores(model: dict[str, np.ndarray], texts: Ids) -> np.ndarray:
     """log10 probability of each text; each token counts once. model: fresh() and direct()."""
-    windows, attention = Windows(texts), Attention(model)
+    windows, attention = Windows(texts), Attention(model, BATCH)
     out, rows, ones = np.zeros(len(texts.sizes)), BATCH * SCORED, np.ones(SIDE, np.float32)
     by_class, by_id, own, context = (np.empty((rows, k), np.float32) for k in (SIDE, SIDE, SIDE, WIDTH))
     pairs = model["id_direct"].reshape(IDS * SIDE, SIDE)
@@ -369,8 +369,8 @@ def _sums(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def gradients(attention: Attention, windows: Taken) -> tuple[dict[str, np.ndarray], float, int]:
-    """Gradients of the mean cross-entropy over windows for the attention's parameters, the sum of losses and the tokens."""
+def gradients(attention: Attention, windows: Taken, measure: bool = True) -> tuple[dict[str, np.ndarray], float, int]:
+    """Gradients of the mean cross-entropy over windows for the attention's parameters, the sum of losses (if measured) and the tokens."""
     model, m = attention.model, len(windows.inputs)
     n = m * SCORED
     gathered = attention.gather(windows.inputs, windows.first)
@@ -386,14 +386,18 @@ def gradients(attention: Attention, windows: Taken) -> tuple[dict[str, np.ndarra
     spans = [(k, slice(cuts[k], cuts[k + 1])) for k in range(SIDE) if cuts[k + 1] > cuts[k]]
     for k, rows in spans:
         np.dot(context[rows], model["id_out"][k], out=by_id[rows])
-    by_class = context @ model["class_out"] + model["class_direct"][now]
-    by_id += model["id_direct"].reshape(IDS * SIDE, SIDE)[now.astype(np.int64) * SIDE + kind]
+    by_class = context @ model["class_out"]
+    by_class += np.take(model["class_direct"], now, axis=0)
+    by_id += np.take(model["id_direct"].reshape(IDS * SIDE, SIDE), now.astype(np.int64) * SIDE + kind, axis=0)
     loss = 0.0
     for logits, wanted in ((by_class, kind), (by_id, last)):
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        loss -= float(np.log(np.maximum(logits[every, wanted], 1e-30))[real].sum())
-        logits[every, wanted] -= 1
+        logits /= (logits @ np.ones((SIDE, 1), logits.dtype))
+        flat = every * SIDE + wanted
+        own = np.take(logits, flat)
+        if measure:
+            loss -= float(np.log(np.maximum(own, 1e-30))[real].sum())
+        logits.reshape(-1)[flat] = own - 1
         logits *= share
     grads = {"class_out": context.T @ by_class, "id_out": np.zeros_like(model["id_out"])}
     sorted_back = by_class @ model["class_out"].T
@@ -417,19 +421,24 @@ def gradients(attention: Attention, windows: Taken) -> tuple[dict[str, np.ndarra
 
 def train(model: dict[str, np.ndarray], lessons: Iterator[Taken], learn: float = LEARN) -> tuple[dict[str, np.ndarray], int]:
     """Adam over batches of windows; returns the attention's new parameters and the tokens seen."""
-    own = {k: model[k].copy() for k in fresh()}
+    # all parameters are views of one array, so that a step is a few operations
+    names, at, own = sorted(fresh()), 0, {}
+    theta = np.concatenate([model[k].ravel() for k in names])
+    for k in names:
+        own[k] = theta[at : at + model[k].size].reshape(model[k].shape)
+        at += model[k].size
     attention = Attention({**model, **own}, LESSON)
-    mean, square, step, seen = {k: np.zeros_like(v) for k, v in own.items()}, {k: np.zeros_like(v) for k, v in own.items()}, 0, 0
+    mean, square, step, seen = np.zeros_like(theta), np.zeros_like(theta), 0, 0
     for windows in lessons:
         order = np.random.default_rng(step).permutation(len(windows.inputs))
         for a in range(0, len(order), LESSON):
-            grads, _, tokens = gradients(attention, windows.rows(order[a : a + LESSON]))
+            grads, _, tokens = gradients(attention, windows.rows(order[a : a + LESSON]), False)
+            g = np.concatenate([grads[k].ravel() for k in names])
             step, seen = step + 1, seen + tokens
             rate = learn * min(1.0, step / 20) / (1 + step / 500)
-            for k, g in grads.items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                own[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return own, seen
 
 
@@ -466,12 +475,12 @@ def useful_pieces(texts: DataFrame, pieces: list[bytes]) -> list[bytes]:
 
 
 def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[Taken]:
-    """The windows to learn from of packs: of each text that trains every EVERY-th, the first one by its number of tokens."""
+    """All windows of the texts of packs that train."""
     for (payload,) in _values(batches, 1):
         (_, _, train, _, lengths, _), body = thaw(payload)
         for at, end, ids in _parts(np.frombuffer(body, np.uint8), lengths):
             windows, own = Windows(ids), train[at:end] > 0
-            taken = np.flatnonzero(own[windows.text] & ((windows.number + ids.sizes[windows.text]) % EVERY == 0))
+            taken = np.flatnonzero(own[windows.text])
             if len(taken):
                 yield windows.taken(taken)
 
@@ -520,8 +529,7 @@ def trained(packed: DataFrame) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, pieces: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
     """The model's pieces and parameters, from docs (doc_id, text). Null texts are empty; without rows it stays untrained.
 
-    Pieces and pairs are counted over all text. Gradient steps take of each text every EVERY-th window, the first one by
-    its number of tokens, at any size of the corpus.
+    Pieces and pairs are counted over all text, and every window is learnt from once.
     """
     rows = docs.select("doc_id", F.lit(False).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = useful_pieces(rows.select("text"), pieces if pieces is not None else vocabulary())
